@@ -28,6 +28,7 @@ from threadloom.functions.times import micros, to_micros
 from threadloom.operators.ordered import Ordered, group_sizes, ordered, with_row_index
 from threadloom.operators.replies import resolve_roots, with_target
 from threadloom.operators.thinning import greedy_thin
+from threadloom.storage import materialize
 
 ORDER = ["t", "messageid"]
 
@@ -42,7 +43,7 @@ def _timeline(messages: DataFrame, cfg: ChatConfig) -> Ordered:
         "messageid", "channelid", "userid", "replyid", micros(messages, "sent").alias("t"),
         F.when(is_assigned(), F.col("conversid")).alias("known"), is_assigned().alias("assigned"))
     rows = with_target(rows, cfg.on_missing_reply).drop("replyid")
-    return ordered(rows, ["channelid"], ORDER, cfg.max_group_rows)
+    return ordered(rows, ["channelid"], ORDER, cfg.max_group_rows, sized_by=messages)
 
 
 def _breaks(messages: DataFrame, cfg: ChatConfig) -> Ordered:
@@ -82,13 +83,16 @@ def conversation_breaks(messages: DataFrame, cfg: ChatConfig) -> DataFrame:
 
 def _segments(messages: DataFrame, cfg: ChatConfig) -> Ordered:
     timeline = _breaks(messages, cfg)
-    leads = F.col("is_break") | F.col("assigned") | F.col("target").isNotNull()
-    return timeline.with_running_last("head", F.when(leads, F.col("messageid")))
+    is_root = F.col("is_break") | F.col("assigned")
+    head = F.when(is_root | F.col("target").isNotNull(),
+                  F.struct(F.col("messageid").alias("id"), is_root.alias("is_root")))
+    return timeline.with_running_last("head", head)
 
 
 def conversation_heads(messages: DataFrame, cfg: ChatConfig) -> DataFrame:
     """(messageid, channelid, head): the break or reply each message follows on from."""
-    return _segments(messages, cfg).rows.filter(~F.col("assigned")).select("messageid", "channelid", "head")
+    return _segments(messages, cfg).rows.filter(~F.col("assigned")).select(
+        "messageid", "channelid", F.col("head.id").alias("head"))
 
 
 def in_channels(messages: DataFrame, channels: DataFrame | None) -> DataFrame:
@@ -111,7 +115,9 @@ def assign_conversations(messages: DataFrame, cfg: ChatConfig, channels: DataFra
     """
     if first_id is None:
         first_id = max_conversation(messages).first()["max_conversid"] + 1
-    segments = _segments(in_channels(messages, channels), cfg).materialized("segments").plain()
+    segments = materialize(_segments(in_channels(messages, channels), cfg).rows.select(
+        "messageid", "channelid", "t", "target", "known", "assigned", "is_break",
+        F.col("head.id").alias("head"), F.col("head.is_root").alias("head_is_root")), "segments")
 
     breaks = segments.filter("is_break").select("channelid", "t", "messageid")
     if channels is None:
@@ -124,8 +130,9 @@ def assign_conversations(messages: DataFrame, cfg: ChatConfig, channels: DataFra
 
     links = (segments.filter(F.col("target").isNotNull() & ~F.col("is_break"))
              .select(F.col("messageid").alias("child"), "target")
-             .join(segments.select(F.col("messageid").alias("target"), F.col("head").alias("parent")), "target")
-             .select("child", "parent"))
+             .join(segments.select(F.col("messageid").alias("target"), F.col("head").alias("parent"),
+                                   F.col("head_is_root").alias("done")), "target")
+             .select("child", "parent", "done"))
     heads = (resolve_roots(links).join(roots, "root").select(F.col("child").alias("head"), "conversid")
              .unionByName(roots.withColumnRenamed("root", "head")))
     return (segments.filter(~F.col("assigned")).join(heads, "head")
@@ -150,8 +157,9 @@ def assign_new(new: DataFrame, prior: DataFrame, cfg: ChatConfig,
             .agg(F.max_by(F.struct(*columns), at).alias("_row")).select("_row.*"))
     targets = prior.join(new.select(F.col("replyid").alias("messageid")).distinct(), "messageid", "left_semi")
     context = later.unionByName(last).unionByName(targets.select(*columns)).dropDuplicates(["messageid"])
+    touched = materialize(new.unionByName(context), "touched")
     first_id = max_conversation(prior).first()["max_conversid"] + 1
-    return assign_conversations(new.unionByName(context), cfg, channels, first_id)
+    return assign_conversations(touched, cfg, channels, first_id)
 
 
 def author_runs(messages: DataFrame, cfg: ChatConfig) -> DataFrame:

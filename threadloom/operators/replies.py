@@ -41,20 +41,21 @@ def with_target(rows: DataFrame, on_missing: str = "ignore", time: str = "t") ->
     return others.unionByName(replies)
 
 
-def resolve_roots(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(child, root) for every row of ``links`` (child, parent).
+def resolve_roots(links: DataFrame) -> DataFrame:
+    """(child, root) for every row of ``links`` (child, parent, done).
 
-    A root is a parent that is no child. Each round lets a child skip to its parent's parent, so
-    a chain of depth d takes about log2(d) rounds; children whose parent is a root sit out.
+    ``done`` says the parent is a root; any other parent is itself a child. Each round lets the
+    children not yet done skip to their parent's parent, so a chain of depth d takes about
+    log2(d) rounds and only the long chains stay in the loop. Links must not form a cycle.
     """
-    pairs = materialize(links.select("child", "parent", F.lit(False).alias("done")), "links")
-    for _ in range(max_rounds):
-        if pairs.filter(~F.col("done")).isEmpty():
-            return pairs.select("child", F.col("parent").alias("root"))
-        onward = pairs.select(
-            F.col("child").alias("parent"), F.col("parent").alias("_grand"), F.col("done").alias("_grand_done"))
-        moved = (pairs.filter(~F.col("done")).join(onward, "parent", "left")
-                 .select("child", F.coalesce("_grand", "parent").alias("parent"),
-                         F.coalesce("_grand_done", F.lit(True)).alias("done")))
-        pairs = materialize(pairs.filter("done").unionByName(moved), "links")
-    raise ValueError("reply links form a cycle")
+    pairs = materialize(links, "links")
+    finished, active = pairs.filter("done"), pairs.filter(~F.col("done"))
+    while not active.isEmpty():
+        onward = finished.unionByName(active).select(
+            F.col("child").alias("parent"), F.col("parent").alias("_grand"), F.col("done").alias("_done"))
+        moved = materialize(
+            active.join(onward, "parent")
+            .select("child", F.col("_grand").alias("parent"), F.col("_done").alias("done")), "links")
+        finished = finished.unionByName(moved.filter("done"))
+        active = moved.filter(~F.col("done"))
+    return finished.select("child", F.col("parent").alias("root"))
