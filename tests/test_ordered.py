@@ -54,7 +54,7 @@ def test_row_index(spark, rows):
 @pytest.mark.parametrize("limit", LIMITS)
 @pytest.mark.parametrize("include_self", [False, True])
 def test_history(spark, rows, limit, include_self):
-    out = with_history(rows, ["g"], ["t", "messageid"], item=F.col("v"), is_target=F.col("messageid") % 4 == 0,
+    out = with_history(rows, ["g"], ["t", "messageid"], item="v", is_target=F.col("messageid") % 4 == 0,
                        lookback=5, include_self=include_self, max_group_rows=limit)
     assert set(out.columns) == {*rows.columns, "history"}
     got = {r.messageid: r.history for r in out.collect()}

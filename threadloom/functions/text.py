@@ -24,11 +24,13 @@ ENDS = rf"{FLAGS}\A[{SPACE}]+|[{SPACE}]+\z"
 
 
 def strip_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL, "")
+    # Most text has no link; the plain search spares it the pattern.
+    may_match = text.contains("http") | text.contains("www")
+    return F.when(may_match, F.regexp_replace(text, URL, "")).otherwise(text)
 
 
 def strip_emoji(text: Column) -> Column:
-    return F.regexp_replace(text, EMOJI, "")
+    return F.when(text.contains("<"), F.regexp_replace(text, EMOJI, "")).otherwise(text)
 
 
 def mention_ids(text: Column) -> Column:
@@ -41,8 +43,8 @@ def _literal_replacement(name: Column) -> Column:
     return F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
 
 
-def replace_mentions(text: Column, names: Column) -> Column:
-    """Swap mentions for names, id by id in order of appearance; unlisted ids are removed.
+def replace_ids(text: Column, ids: Column, names: Column) -> Column:
+    """Swap the mentions of ``ids`` for names, id by id in order; unlisted ids are removed.
 
     Each step acts on the result of the step before and on every mention that ends in the id,
     so the outcome depends on the order.
@@ -54,10 +56,13 @@ def replace_mentions(text: Column, names: Column) -> Column:
         pattern = F.concat(F.lit(before), mention, F.lit(after))
         return F.regexp_replace(current, pattern, _literal_replacement(name))
 
-    ids = mention_ids(text)
     return F.when(F.size(ids) > 0, F.aggregate(ids, text, one_id)).otherwise(text)
 
 
+def replace_mentions(text: Column, names: Column) -> Column:
+    return replace_ids(text, mention_ids(text), names)
+
+
 def strip_ends(text: Column) -> Column:
     return F.regexp_replace(text, ENDS, "")
 
@@ -82,23 +87,11 @@ def as_impersonated(text: Column, cfg: ChatConfig) -> Column:
     ).otherwise(swapped)
 
 
-def before_mentions(text: Column, cfg: ChatConfig, training: bool) -> Column:
-    """The text as it stands when mentions are looked up."""
-    return strip_emoji(strip_urls(text if training else as_impersonated(text, cfg)))
-
-
-def after_mentions(text: Column, author: Column, resolved: Column, cfg: ChatConfig, training: bool) -> Column:
-    cleaned = collapse_spaces(resolved)
+def chosen_text(text: Column, author: Column, cfg: ChatConfig, training: bool) -> Column:
+    """The text to scrub: commands and bot text blanked (training) or rewritten (live)."""
     if not training:
-        return cleaned
-    return F.when(blanked_for_training(text, author, cfg), F.lit("")).otherwise(cleaned)
-
-
-def clean(text: Column, author: Column, names: Column, cfg: ChatConfig, training: bool) -> Column:
-    """Scrubbed text: commands and bot text blanked (training) or rewritten (live), then links
-    and custom emoji removed, mentions named, white space tidied."""
-    resolved = replace_mentions(before_mentions(text, cfg, training), names)
-    return after_mentions(text, author, resolved, cfg, training)
+        return as_impersonated(text, cfg)
+    return F.when(blanked_for_training(text, author, cfg), F.lit("")).otherwise(text)
 
 
 def names_map(names: dict[str, str]) -> Column:

@@ -18,18 +18,16 @@ def training_examples(messages: DataFrame, cfg: ChatConfig,
 
     ``messages`` hold cleaned text and conversations. A message is a target when the member wrote
     it, it has text, it does not open its conversation, and some of the ``history`` messages
-    before it have text. Conversations without a possible target are left out before the shuffle
-    that brings conversations together.
+    before it have text.
     """
-    columns = ["messageid", "conversid", "userid", "sent", "content"]
+    rows = messages.filter(is_assigned()).select(
+        "messageid", "conversid", "userid", "sent", "content", "isFirstInConvers")
     wanted = ((F.col("userid") == cfg.user_id) & (F.col("content") != "")
               & ~F.col("isFirstInConvers"))
-    rows = messages.filter(is_assigned()).select(*columns, wanted.alias("wanted"))
-    rows = rows.join(rows.filter("wanted").select("conversid").distinct(), "conversid", "left_semi")
     found = with_history(
-        with_line(rows, cfg, training=True, names=names), ["conversid"], ["sent", "messageid"],
-        item=F.col("line"), is_target=F.col("wanted"), lookback=cfg.history, include_self=False,
-        max_group_rows=cfg.max_group_rows)
+        rows, ["conversid"], ["sent", "messageid"], is_target=wanted, lookback=cfg.history,
+        include_self=False, item="line", max_group_rows=cfg.max_group_rows,
+        prepare=lambda needed: with_line(needed, cfg, training=True, names=names))
     return found.filter(F.size("history") > 0).select(
         "conversid", "messageid", F.lit(cfg.instruction_text).alias("instruction"),
         F.array_join("history", "\n").alias("input"), F.col("content").alias("output"))
@@ -47,13 +45,14 @@ def chat_triggers(messages: DataFrame, cfg: ChatConfig) -> DataFrame:
 def chat_context(messages: DataFrame, cfg: ChatConfig, names: DataFrame | None = None) -> DataFrame:
     """(messageid, channelid, context) for each trigger: the newest ``history`` messages of its
     channel up to the trigger itself, cleaned for live use; empty ones take a place unseen."""
-    rows = messages.select("messageid", "channelid", "userid", "sent", "content",
-                           is_trigger(cfg).alias("trigger"))
-    cleaned = clean_messages(rows, cfg, training=False, names=names)
+
+    def lines(needed: DataFrame) -> DataFrame:
+        return with_line(clean_messages(needed, cfg, False, names=names), cfg, False, names=names)
+
     found = with_history(
-        with_line(cleaned, cfg, training=False, names=names), ["channelid"], ["sent", "messageid"],
-        item=F.col("line"), is_target=F.col("trigger"), lookback=cfg.history - 1, include_self=True,
-        max_group_rows=cfg.max_group_rows)
+        messages.select("messageid", "channelid", "userid", "sent", "content"), ["channelid"],
+        ["sent", "messageid"], is_target=is_trigger(cfg), lookback=cfg.history - 1, include_self=True,
+        item="line", max_group_rows=cfg.max_group_rows, prepare=lines)
     return found.select("messageid", "channelid", F.array_join("history", "\n").alias("context"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,24 @@ from threadloom.config import MAX_GROUP_ROWS
 from threadloom.operators.ordered import group_sizes, ordered
 
 
-def with_history(rows: DataFrame, keys: list[str], order: list[str], *, item: Column,
-                 is_target: Column, lookback: int, include_self: bool, out: str = "history",
+def with_history(rows: DataFrame, keys: list[str], order: list[str], *, is_target: Column,
+                 lookback: int, include_self: bool, item: str,
+                 prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows, out: str = "history",
                  unique: str = "messageid", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Target rows with array ``out``: ``item`` of the ``lookback`` rows before, oldest first.
 
     Null items take a place in the window but not in the array. With ``include_self`` the
-    target's own item comes last. Rows no target looks back at are dropped early, so the array
-    is built next to targets only.
+    target's own item comes last. ``prepare`` derives what is needed, such as the item, one row
+    at a time.
 
-    When a group is too large for one task, rows get their exact position, groups are cut into
-    blocks of positions, and the last ``lookback`` rows of a block are copied to the next one.
+    Groups without a target leave before the shuffle that brings groups together, rows no target
+    looks back at leave right after it, and only then ``prepare`` runs. When a group is too large
+    for one task, rows get their exact position, groups are cut into blocks of positions, and the
+    last ``lookback`` rows of a block are copied to the next one.
     """
-    rows = rows.withColumn("_item", item).withColumn("_target", is_target)
     largest, _ = group_sizes(rows, keys)
+    rows = rows.withColumn("_target", is_target)
+    rows = rows.join(rows.filter("_target").select(*keys).distinct(), keys, "left_semi")
     if largest <= max_group_rows:
         group = [*keys]
         rows = rows.withColumn(
@@ -42,7 +48,8 @@ def with_history(rows: DataFrame, keys: list[str], order: list[str], *, item: Co
     by_position = Window.partitionBy(*group).orderBy("_pos")
     ahead = by_position.rowsBetween(Window.currentRow, lookback)
     behind = by_position.rangeBetween(-lookback, 0 if include_self else -1)
-    return (rows.withColumn("_needed", F.max("_target").over(ahead)).filter("_needed")
-            .withColumn(out, F.collect_list("_item").over(behind))
+    needed = rows.withColumn("_needed", F.max("_target").over(ahead)).filter("_needed")
+    return (prepare(needed)
+            .withColumn(out, F.collect_list(item).over(behind))
             .filter("_target")
-            .drop("_item", "_target", "_needed", "_pos", "_home", "_block"))
+            .drop("_target", "_needed", "_pos", "_home", "_block"))

@@ -31,19 +31,23 @@ def with_mention_names(df: DataFrame, text: Column, names: DataFrame, unique: st
 
 def clean_messages(messages: DataFrame, cfg: ChatConfig, training: bool, out: str = "content",
                    names: DataFrame | None = None) -> DataFrame:
-    """Messages with scrubbed text in ``out``.
+    """Messages with scrubbed text in ``out``: commands and bot text blanked (training) or
+    rewritten (live), then links and custom emoji removed, mentions named, white space tidied.
 
     ``names`` (id, name) replaces the names of the config when there are too many to inline.
     """
-    content, author = F.col("content"), F.col("userid")
+    # A column per step: a step used twice would be evaluated twice inside one expression.
+    text = F.col("_text")
+    steps = (messages.withColumn("_text", X.chosen_text(F.col("content"), F.col("userid"), cfg, training))
+             .withColumn("_text", X.strip_urls(text)).withColumn("_text", X.strip_emoji(text)))
     if names is None and _inline(cfg):
-        return messages.withColumn(out, X.clean(content, author, X.names_map(cfg.names), cfg, training))
-    names = names_table(messages, cfg) if names is None else names
-    stripped = messages.withColumn("_text", X.before_mentions(content, cfg, training))
-    named = with_mention_names(stripped, F.col("_text"), names, "messageid")
-    resolved = X.replace_mentions(F.col("_text"), F.col("_names"))
-    return (named.withColumn(out, X.after_mentions(content, author, resolved, cfg, training))
-            .drop("_text", "_names"))
+        listed = X.names_map(cfg.names)
+    else:
+        names = names_table(messages, cfg) if names is None else names
+        steps = with_mention_names(steps, text, names, "messageid")
+        listed = F.col("_names")
+    resolved = X.replace_ids(text, F.col("_ids"), listed)
+    return steps.withColumn("_ids", X.mention_ids(text)).withColumn(out, X.collapse_spaces(resolved)).drop("_text", "_ids", "_names")
 
 
 def with_line(messages: DataFrame, cfg: ChatConfig, training: bool, out: str = "line",
