@@ -14,23 +14,31 @@ from threadloom.storage import materialize
 def greedy_thin(points: DataFrame, keys: list[str], gap: int, *, time: str = "t",
                 unique: str = "messageid", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """``unique`` of the kept points. ``time`` is a bigint; a point is kept when it lies more
-    than ``gap`` after the last kept one."""
+    than ``gap`` after the last kept one.
+
+    The result is stored, so that Spark knows its size (mostly small) when it is joined.
+    """
     points = points.select(*keys, F.col(time).alias("_t"), F.col(unique).alias("_id"))
     largest, _ = group_sizes(points, keys)
     if largest <= max_group_rows:
-        return _fold(points, keys, gap).select(F.col("_id").alias(unique))
+        kept = _fold(points, keys, gap)
+        return materialize(kept.select(F.col("_id").alias(unique)), "kept")
     # At most (all rows / max_group_rows) groups are large.
     large = (points.groupBy(*keys).agg(F.count("*").alias("_n"))
              .filter(F.col("_n") > max_group_rows).select(*keys))
     small_kept = _fold(points.join(F.broadcast(large), keys, "left_anti"), keys, gap)
     large_kept = _leap(points.join(F.broadcast(large), keys, "left_semi"), keys, gap, max_group_rows)
-    return small_kept.select("_id").unionByName(large_kept).select(F.col("_id").alias(unique))
+    kept = small_kept.select("_id").unionByName(large_kept)
+    return materialize(kept.select(F.col("_id").alias(unique)), "kept")
 
 
-def _fold(points: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """One pass over each group's sorted points; the kept list has at most (time span / gap) ids."""
-    start = F.struct(
-        F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+def _fold(points: DataFrame, keys: list[str], gap: int, block: int = 256) -> DataFrame:
+    """One pass over each group's sorted points; the kept list has at most (time span / gap) ids.
+
+    Spark copies the state of ``aggregate`` at every element, so the kept list grows per block of
+    points and joins the whole list once per block.
+    """
+    none_kept = F.array().cast("array<bigint>")
 
     def step(state, point):
         keep = state["last"].isNull() | (point["_t"] - state["last"] > gap)
@@ -38,10 +46,17 @@ def _fold(points: DataFrame, keys: list[str], gap: int) -> DataFrame:
             point["_t"].alias("last"), F.array_append(state["kept"], point["_id"]).alias("kept"),
         )).otherwise(state)
 
-    sorted_points = F.sort_array(F.collect_list(F.struct("_t", "_id")))
-    return (points.groupBy(*keys).agg(sorted_points.alias("_points"))
-            .select(*keys, F.explode(
-                F.aggregate("_points", start, step, lambda state: state["kept"])).alias("_id")))
+    def block_step(state, points_of_block):
+        start = F.struct(state["last"].alias("last"), none_kept.alias("kept"))
+        return F.aggregate(points_of_block, start, step, lambda end: F.struct(
+            end["last"].alias("last"), F.concat(state["kept"], end["kept"]).alias("kept")))
+
+    start = F.struct(F.lit(None).cast("long").alias("last"), none_kept.alias("kept"))
+    starts = F.sequence(F.lit(1), F.size("_points"), F.lit(block))
+    blocks = F.transform(starts, lambda at: F.slice("_points", at, block))
+    kept = F.aggregate("_blocks", start, block_step, lambda end: end["kept"])
+    return (points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_t", "_id"))).alias("_points"))
+            .select(*keys, blocks.alias("_blocks")).select(*keys, F.explode(kept).alias("_id")))
 
 
 def _leap(points: DataFrame, keys: list[str], gap: int, max_group_rows: int) -> DataFrame:
