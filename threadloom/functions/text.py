@@ -19,8 +19,11 @@ URL = rf"{FLAGS}(?:http|www)[^{SPACE}]+"
 EMOJI = rf"{FLAGS}<.+?:\d+>"
 MENTION = rf"{FLAGS}<[#@].*?(\d+?)>"
 MENTION_OF_ID = (rf"{FLAGS}<[#@].*?", ">")
-SPACE_RUN = rf"{FLAGS}[{SPACE}&&[^\n]]+"
-ENDS = rf"{FLAGS}\A[{SPACE}]+|[{SPACE}]+\z"
+BLANKS = rf"[{SPACE}&&[^\n]]"
+# A single plain blank stays as it is, so it need not match.
+SPACE_RUN = rf"{FLAGS}[{SPACE}&&[^\n ]]{BLANKS}*+| {BLANKS}++"
+# All white space there is, for trimming.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip_urls(text: Column) -> Column:
@@ -64,7 +67,7 @@ def replace_mentions(text: Column, names: Column) -> Column:
 
 
 def strip_ends(text: Column) -> Column:
-    return F.regexp_replace(text, ENDS, "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def collapse_spaces(text: Column) -> Column:
