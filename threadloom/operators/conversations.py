@@ -27,6 +27,7 @@ from threadloom.config import UNASSIGNED, ChatConfig
 from threadloom.functions.times import micros, to_micros
 from threadloom.operators.ordered import Ordered, group_sizes, ordered, with_row_index
 from threadloom.operators.replies import resolve_roots, with_target
+from threadloom.operators.skew import hot_join
 from threadloom.operators.thinning import greedy_thin
 from threadloom.storage import materialize
 
@@ -42,8 +43,10 @@ def _timeline(messages: DataFrame, cfg: ChatConfig) -> Ordered:
     rows = messages.select(
         "messageid", "channelid", "userid", "replyid", micros(messages, "sent").alias("t"),
         F.when(is_assigned(), F.col("conversid")).alias("known"), is_assigned().alias("assigned"))
-    rows = with_target(rows, cfg.on_missing_reply).drop("replyid")
-    return ordered(rows, ["channelid"], ORDER, cfg.max_group_rows, sized_by=messages)
+    sizes = group_sizes(messages, ["channelid"])
+    hot = sizes[0] > cfg.max_group_rows
+    rows = with_target(rows, cfg.on_missing_reply, hot=hot, max_key_rows=cfg.max_group_rows).drop("replyid")
+    return ordered(rows, ["channelid"], ORDER, cfg.max_group_rows, sizes)
 
 
 def _breaks(messages: DataFrame, cfg: ChatConfig) -> Ordered:
@@ -115,7 +118,8 @@ def assign_conversations(messages: DataFrame, cfg: ChatConfig, channels: DataFra
     """
     if first_id is None:
         first_id = max_conversation(messages).first()["max_conversid"] + 1
-    segments = materialize(_segments(in_channels(messages, channels), cfg).rows.select(
+    timeline = _segments(in_channels(messages, channels), cfg)
+    segments = materialize(timeline.rows.select(
         "messageid", "channelid", "t", "target", "known", "assigned", "is_break",
         F.col("head.id").alias("head"), F.col("head.is_root").alias("head_is_root")), "segments")
 
@@ -128,14 +132,19 @@ def assign_conversations(messages: DataFrame, cfg: ChatConfig, channels: DataFra
              .unionByName(segments.filter("assigned").select(
                  F.col("messageid").alias("root"), F.col("known").alias("conversid"))))
 
-    links = (segments.filter(F.col("target").isNotNull() & ~F.col("is_break"))
-             .select(F.col("messageid").alias("child"), "target")
-             .join(segments.select(F.col("messageid").alias("target"), F.col("head").alias("parent"),
-                                   F.col("head_is_root").alias("done")), "target")
-             .select("child", "parent", "done"))
-    heads = (resolve_roots(links).join(roots, "root").select(F.col("child").alias("head"), "conversid")
+    # Only a large channel can hold a head or a reply target that many messages share.
+    def join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        return hot_join(left, right, key, cfg.max_group_rows, hot=timeline.split)
+
+    links = join(
+        segments.filter(F.col("target").isNotNull() & ~F.col("is_break"))
+        .select(F.col("messageid").alias("child"), "target"),
+        segments.select(F.col("messageid").alias("target"), F.col("head").alias("parent"),
+                        F.col("head_is_root").alias("done")), "target")
+    children = resolve_roots(links.select("child", "parent", "done"), join)
+    heads = (join(children, roots, "root").select(F.col("child").alias("head"), "conversid")
              .unionByName(roots.withColumnRenamed("root", "head")))
-    return (segments.filter(~F.col("assigned")).join(heads, "head")
+    return (join(segments.filter(~F.col("assigned")), heads, "head")
             .select("messageid", "channelid", "conversid", F.col("is_break").alias("isFirstInConvers")))
 
 

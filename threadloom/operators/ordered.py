@@ -118,12 +118,12 @@ class Ordered:
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str],
-            max_group_rows: int = MAX_GROUP_ROWS, sized_by: DataFrame | None = None) -> Ordered:
+            max_group_rows: int = MAX_GROUP_ROWS, sizes: tuple[int, int] | None = None) -> Ordered:
     """``df`` prepared for ordered computations; ``keys + order`` must be unique, keys not null.
 
-    ``sized_by`` may name a cheaper table with the same groups, such as the scan behind ``df``.
+    ``sizes`` may hand in the group sizes where they are known from a cheaper table.
     """
-    largest, total = group_sizes(df if sized_by is None else sized_by, keys)
+    largest, total = sizes or group_sizes(df, keys)
     if largest <= max_group_rows:
         return Ordered(df, tuple(keys), tuple(order), split=False)
     chunks = min(MAX_CHUNKS, 1 + math.ceil(total / max_group_rows))

@@ -8,6 +8,7 @@ from threadloom.config import ChatConfig
 from threadloom.operators.conversations import assign_conversations
 from threadloom.operators.examples import training_examples
 from threadloom.operators.scrub import clean_messages
+from threadloom.storage import materialize
 
 
 def with_conversations(messages: DataFrame, cfg: ChatConfig, channels: DataFrame | None = None) -> DataFrame:
@@ -16,8 +17,15 @@ def with_conversations(messages: DataFrame, cfg: ChatConfig, channels: DataFrame
     return messages.drop("conversid", "isFirstInConvers").join(assigned, "messageid")
 
 
+def prepared_messages(messages: DataFrame, cfg: ChatConfig, channels: DataFrame | None = None,
+                      names: DataFrame | None = None) -> DataFrame:
+    """The stored state examples are made from: text cleaned once, from the raw text, and
+    conversations assigned. Stored, since examples read it more than once."""
+    cleaned = clean_messages(messages, cfg, training=True, names=names)
+    return materialize(with_conversations(cleaned, cfg, channels), "prepared")
+
+
 def prepare_examples(messages: DataFrame, cfg: ChatConfig, channels: DataFrame | None = None,
                      names: DataFrame | None = None) -> DataFrame:
-    """Training examples straight from raw messages. Text is cleaned once, from the raw text."""
-    cleaned = clean_messages(with_conversations(messages, cfg, channels), cfg, training=True, names=names)
-    return training_examples(cleaned, cfg, names)
+    """Training examples straight from raw messages."""
+    return training_examples(prepared_messages(messages, cfg, channels, names), cfg, names)

@@ -210,7 +210,7 @@ def conversation_stats(spark, sf_dir):
 
 @query
 def example_stats(spark, sf_dir):
-    prepared = _prepared(spark, sf_dir)
+    prepared = prepare.prepared_messages(messages(spark, sf_dir), CFG)
     return aggregates.example_stats(examples.training_examples(prepared, CFG), prepared)
 
 
@@ -320,11 +320,6 @@ def assign_conversations_incremental(spark, sf_dir):
     return conversations.assign_new(new, stored, CFG).drop("channelid")
 
 
-def _prepared(spark, sf_dir):
-    return scrub.clean_messages(
-        prepare.with_conversations(messages(spark, sf_dir), CFG), CFG, training=True)
-
-
 @query
 def conversation_position(spark, sf_dir):
     return conversations.conversation_position(

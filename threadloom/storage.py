@@ -27,7 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid4().hex}"
+    """A new path in the folder of this application, which may go when the application has ended."""
+    return f"{shared_folder(spark)}/threadloom-{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
