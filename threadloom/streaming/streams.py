@@ -1,8 +1,8 @@
 """Streaming versions of ingest, trigger detection, busy gate and rolling context.
 
 All run with ``availableNow``: a run takes what has landed since the last one and stops, the
-checkpoint being the mark. ``max_files`` bounds one micro-batch and with it what a stateful
-task sorts.
+checkpoint being the mark. ``max_bytes`` bounds one micro-batch and with it what the stateful
+task of a busy channel sorts.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from threadloom.operators.scrub import clean_messages, with_line
 from threadloom.schema import MESSAGE
 
 
-def read_stream(spark: SparkSession, path: str, schema=MESSAGE, max_files: int = 1000, **options) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+def read_stream(spark: SparkSession, path: str, schema=MESSAGE, max_bytes: str = "512m", **options) -> DataFrame:
+    return (spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
             .options(**options).parquet(path))
 
 
