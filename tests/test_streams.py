@@ -53,7 +53,7 @@ def test_small_micro_batches_keep_the_state(spark, halves, tmp_path):
     for day in range(1, 31, 6):
         part = halves[0].filter(f"day(sent) BETWEEN {day} AND {day + 5}").coalesce(1)
         part.write.mode("append").parquet(landing)
-        stream = streams.context_stream(streams.read_stream(spark, landing, part.schema, max_bytes="1"), CFG)
+        stream = streams.context_stream(streams.read_stream(spark, landing, part.schema, max_bytes=1), CFG)
         streams.run_to_parquet(stream, out, mark)
     got = sorted(map(tuple, spark.read.schema(stream.schema).parquet(out).collect()))
     assert got == sorted(map(tuple, examples.chat_context(halves[0], CFG).collect()))

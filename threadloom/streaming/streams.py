@@ -22,7 +22,7 @@ from threadloom.operators.scrub import clean_messages, with_line
 from threadloom.schema import MESSAGE
 
 
-def read_stream(spark: SparkSession, path: str, schema=MESSAGE, max_bytes: str = "512m", **options) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema=MESSAGE, max_bytes: int = 512 << 20, **options) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
             .options(**options).parquet(path))
 
