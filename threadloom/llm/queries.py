@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import table
+from threadloom.llm.decontam import contamination
+from threadloom.llm.pii import KINDS, count_of, find_spans, listed
+from threadloom.llm.quality import score_quality
 from threadloom.llm.sentencepieces import encode_decode
 from threadloom.llm.simhash import hex_fingerprint, near_duplicates
 from threadloom.llm.topk import top_k
+from threadloom.llm.toxicity import score_toxicity
+
+
+def op2_pii(spark, sf_dir):
+    """Which personal data does each text hold, by fixed kinds and by learnt contexts?"""
+    found = find_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS],
+                        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def op3_exact_top_k(spark, sf_dir):
@@ -21,6 +32,24 @@ def op4_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark, sf_dir):
+    """Which documents hold benchmark passages, and of which items?"""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.coalesce(F.array_sort(F.col("items").cast("array<string>")), F.array().cast("array<string>"))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op6_quality(spark, sf_dir):
+    """How good is each document, and does it pass?"""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark, sf_dir):
+    """How toxic is each document, and is it toxic?"""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sentencepiece(spark, sf_dir, model_path=None):
     """Token ids of every text and the text they decode to, as digests."""
     if model_path is None:
@@ -33,9 +62,30 @@ def op9_sentencepiece(spark, sf_dir, model_path=None):
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op3_exact_top_k, op4_simhash_dedup, op9_sentencepiece)}
+QUERIES = {q.__name__: q for q in (op2_pii, op3_exact_top_k, op4_simhash_dedup, op5_decontamination, op6_quality,
+                                  op7_toxicity, op9_sentencepiece)}
+
+WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
+    "op5_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS_SQL.format("text")}, []) AS w FROM documents),
+i AS (SELECT item_id, {WORDS_SQL.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+l AS (SELECT item_id, w, least(len(w), 13) AS n FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS s
+        FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM l)),
+placed AS (SELECT r, p, k.n, array_to_string(w[p:p + k.n - 1], ' ') AS s
+       FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d) q, (SELECT DISTINCT n FROM win) k
+       WHERE p + k.n - 1 <= len(w)),
+hit AS (SELECT r, p, placed.n, item_id FROM placed JOIN win ON placed.n = win.n AND placed.s = win.s),
+pos AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS x FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS t FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+""",
     "op3_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
