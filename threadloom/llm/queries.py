@@ -8,10 +8,12 @@ from threadloom.llm.common import table
 from threadloom.llm.decontam import contamination
 from threadloom.llm.pii import KINDS, count_of, find_spans, listed
 from threadloom.llm.quality import score_quality
+from threadloom.llm.repeats import remove_repeats
 from threadloom.llm.sentencepieces import encode_decode
 from threadloom.llm.simhash import hex_fingerprint, near_duplicates
 from threadloom.llm.topk import top_k
 from threadloom.llm.toxicity import score_toxicity
+from threadloom.llm.warc import archive_round_trip
 
 
 def op2_pii(spark, sf_dir):
@@ -50,6 +52,12 @@ def op7_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark, sf_dir):
+    """What do the archives of all pages hold, read back by byte ranges?"""
+    found = archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_sentencepiece(spark, sf_dir, model_path=None):
     """Token ids of every text and the text they decode to, as digests."""
     if model_path is None:
@@ -62,8 +70,16 @@ def op9_sentencepiece(spark, sf_dir, model_path=None):
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_repeated_strings(spark, sf_dir):
+    """Which bytes of each text belong to a long string that stands elsewhere as well?"""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", F.length("data").cast("long").alias("n_bytes"), removed.alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {q.__name__: q for q in (op2_pii, op3_exact_top_k, op4_simhash_dedup, op5_decontamination, op6_quality,
-                                  op7_toxicity, op9_sentencepiece)}
+                                  op7_toxicity, op8_warc, op9_sentencepiece, op10_repeated_strings)}
 
 WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
