@@ -99,8 +99,8 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, share: int = 20,
-                  id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id_col, n_words, hits, items, n_hit, contaminated) of every row.
+                  id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """(id_col, *keep, n_words, hits, items, n_hit, contaminated) of every row.
 
     ``hits`` holds the word ranges of occurring windows, ``items`` the ids of their items, both
     null where there are none; a text is contaminated if its hit words are at least one in
@@ -110,7 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
     """
     text = F.col(text_col)
     found = window_hits(docs, benchmark, window, shingle, text_col, **options)
-    rows = docs.select(F.col(id_col).alias(id_col), text_key(text).alias("key"), F.size(words(text)).cast("long").alias("n_words"))
+    rows = docs.select(id_col, *keep, text_key(text).alias("key"), F.size(words(text)).cast("long").alias("n_words"))
     n_hit = covered(F.col("hits")).cast("long")
     return (rows.join(found, "key", "left").drop("key").withColumn("n_hit", n_hit)
             .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))))

@@ -152,21 +152,21 @@ def discovered_spans(scan: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame, rounds: int = 2, min_support: int = 5, min_score: float = 0.8,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, key, base, spans) of every row: arrays of (start, k, end), sorted.
+               id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *keep, key, base, spans) of every row: arrays of (start, k, end), sorted.
 
     ``base`` has the fixed kinds; ``spans`` has these and what contexts add, which never overlaps
     them. Null texts count as empty and have neither. Ids and repeated rows stay as they are; equal
     texts get equal spans. Other columns are not read.
     """
-    scan = materialize(scanned(docs, id_col, text_col), "pii-scan")
+    scan = materialize(scanned(docs, id_col, text_col, keep), "pii-scan")
     more = discovered_spans(scan, confident_patterns(scan, rounds, min_support, min_score))
     return with_more(scan.drop("slots"), more)
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias(id_col), text_key(text).alias("key"), base_spans(text).alias("base"), slots(text).alias("slots"))
+    return docs.select(id_col, *keep, text_key(text).alias("key"), base_spans(text).alias("base"), slots(text).alias("slots"))
 
 
 def with_more(rows: DataFrame, more: DataFrame) -> DataFrame:

@@ -127,15 +127,15 @@ def labelled(labels: DataFrame, target: str, id_col: str = "doc_id") -> DataFram
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4, held: int = 2,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, held_out, score, predicted) of every row.
+                  id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *keep, held_out, score, predicted) of every row, ``keep`` being columns to carry.
 
     Rows whose crc32(id) modulo ``folds`` is ``held`` are never learnt from. A null id is not held
     out and has no label. Null texts count as empty; empty texts are scored like any other.
     Repeated rows get equal scores and count in the fit as often as they stand. Without labels of
     both classes scores tell nothing, but are defined. Other columns are not read.
     """
-    rows = materialize(with_statistics(docs, id_col, text_col), "statistics")
+    rows = materialize(with_statistics(docs, id_col, text_col, keep), "statistics")
     out = F.coalesce(remainder(id_col, folds) == held, F.lit(False))
     train = rows.filter(~out).join(labelled(labels, "quality", id_col), F.col(id_col) == F.col("_id_")).select("x", "y")
     model = fit(train)
@@ -144,5 +144,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fo
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.array(x.tolist(), float).reshape(len(x), -1)))
 
-    return (rows.select(id_col, out.alias("held_out"), score("x").alias("score"))
+    return (rows.select(id_col, *keep, out.alias("held_out"), score("x").alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import table
 from threadloom.llm.decontam import contamination
+from threadloom.llm.licenses import scan_licenses
 from threadloom.llm.pii import KINDS, count_of, find_spans, listed
 from threadloom.llm.quality import score_quality
 from threadloom.llm.repeats import remove_repeats
@@ -16,6 +17,12 @@ from threadloom.llm.toxicity import score_toxicity
 from threadloom.llm.warc import archive_round_trip
 
 
+def op1_licenses(spark, sf_dir):
+    """Which license phrases and notices does each text hold?"""
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op2_pii(spark, sf_dir):
     """Which personal data does each text hold, by fixed kinds and by learnt contexts?"""
     found = find_spans(table(spark, sf_dir, "documents"))
@@ -58,18 +65,23 @@ def op8_warc(spark, sf_dir):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def op9_sentencepiece(spark, sf_dir, model_path=None):
-    """Token ids of every text and the text they decode to, as digests."""
-    if model_path is None:
-        import public_tokenizers
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
-        model_path = public_tokenizers.path("piece_bpe_32k.model")
-    found = encode_decode(table(spark, sf_dir, "documents"), model_path)
+
+def token_digests(found):
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_sentencepiece(spark, sf_dir, model_path=None):
+    """Token ids of every text and the text they decode to, as digests."""
+    return token_digests(encode_decode(table(spark, sf_dir, "documents"), model_path or piece_model()))
+
+
 def op10_repeated_strings(spark, sf_dir):
     """Which bytes of each text belong to a long string that stands elsewhere as well?"""
     found = remove_repeats(table(spark, sf_dir, "documents"))
@@ -78,7 +90,7 @@ def op10_repeated_strings(spark, sf_dir):
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op2_pii, op3_exact_top_k, op4_simhash_dedup, op5_decontamination, op6_quality,
+QUERIES = {q.__name__: q for q in (op1_licenses, op2_pii, op3_exact_top_k, op4_simhash_dedup, op5_decontamination, op6_quality,
                                   op7_toxicity, op8_warc, op9_sentencepiece, op10_repeated_strings)}
 
 WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

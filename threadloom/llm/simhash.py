@@ -41,18 +41,19 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(spans)).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp) of every row, fp as a signed long. Null text counts as empty."""
+def with_fingerprint(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *keep, fp) of every row, fp as a signed long. Null text counts as empty."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = np.array([fingerprint(t.as_py(), width) for t in batch.column(len(names))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*names, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col))
+    names = [id_col, *keep]
+    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.select(*names, F.col(text_col).alias("_text_")).mapInArrow(run, f"{kinds}, fp long")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -156,21 +157,21 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, cell_rows: int = 20_000
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id",
-                    text_col: str = "text", cell_rows: int = 20_000) -> DataFrame:
-    """(id_col, fp, component_id) of every row, component_id being the smallest id reachable.
+                    text_col: str = "text", cell_rows: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *keep, fp, component_id) of every row, component_id being the smallest id reachable.
 
     Texts that are null, empty or without words have fingerprint 0 and are linked like any other.
     Repeated rows and ids stay as they are; a null id is left out of the minimum, and a component
     of null ids alone has a null id. An empty table gives no rows. Other columns are not read.
     """
-    prints = materialize(with_fingerprint(docs, width, id_col, text_col), "simhash")
+    prints = materialize(with_fingerprint(docs, width, id_col, text_col, keep), "simhash")
     least = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = materialize(components(fingerprint_links(prints, max_bits, cell_rows)), "components")
     of_root = (least.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root")
                .agg(F.min("least").alias("reached")))
     linked = roots.join(of_root, "root").select(F.col("node").alias("fp"), "reached")
     classes = least.join(linked, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    return prints.join(classes, "fp").select(id_col, "fp", "component_id")
+    return prints.join(classes, "fp").select(id_col, *keep, "fp", "component_id")
 
 
 def hex_fingerprint(fp=None):
