@@ -18,12 +18,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    # Assignment over runs with late rows has no SQL twin; test_streams holds it against the model.
+    assert set(QUERIES) - set(ORACLES) == {"stream_assign"} and set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_same_as_sql(spark, con, name):
     got = spark_rows(contract.queries()[name](spark, SF_DIR))
     assert got == sql_rows(con, contract.oracle_sql()[name])

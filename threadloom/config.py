@@ -10,7 +10,7 @@ COMMAND = "/kc"
 UNASSIGNED = -1
 CONVERSATION_GAP = timedelta(hours=8)
 HISTORY_LENGTH = 10
-INGEST_LIMIT = 10_000
+INGEST_LIMIT = 10_000  # what one run fetched per channel; the limit is the caller's to set
 FOLDS = 10
 TEST_SHARE = 0.2
 
@@ -18,9 +18,6 @@ TEST_SHARE = 0.2
 # task; larger ones are split over tasks. Rows at that point are narrow (tens of bytes).
 MAX_GROUP_ROWS = 1_000_000
 
-# Names up to this many entries are inlined as a map literal; larger sets are joined.
-MAX_INLINE_NAMES = 2_000
-
 
 @dataclass(frozen=True)
 class ChatConfig:

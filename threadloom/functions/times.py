@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+WITH_OFFSET = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2})$"
+
+
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of a timestamp column, with or without a time zone."""
     if isinstance(df.schema[name].dataType, T.TimestampNTZType):
@@ -22,16 +25,18 @@ def to_micros(span: timedelta) -> int:
 
 
 def parse_sent(text: Column) -> Column:
-    """Timestamp from text with an offset, with or without a fraction; bad text gives null."""
-    return text.try_cast("timestamp")
+    """Timestamp from text with an offset, with or without a fraction; other text gives null."""
+    return F.when(text.rlike(WITH_OFFSET), text.try_cast("timestamp"))
 
 
 def format_sent(sent: Column) -> Column:
-    """Text of a UTC timestamp; the fraction (six digits) shows only when it is not zero."""
-    whole = F.date_format(sent, "yyyy-MM-dd HH:mm:ss")
-    fraction = F.date_format(sent, "SSSSSS")
-    return F.concat(
-        whole,
-        F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(F.lit("")),
-        F.lit("+00:00"),
-    )
+    """Text of a timestamp in UTC; the fraction (six digits) shows only when it is not zero.
+
+    A timestamp without a time zone is taken for UTC; one with a zone is shown in UTC whatever the
+    session's zone is.
+    """
+    zoned = F.convert_timezone(None, F.lit("UTC"), sent.cast("timestamp"))
+    text = F.when(F.typeof(sent) == "timestamp_ntz", sent.cast("timestamp_ntz")).otherwise(zoned).cast("string")
+    fraction = F.regexp_extract(text, r"\.(\d+)$", 1)
+    shown = F.when(fraction != "", F.concat(F.lit("."), F.rpad(fraction, 6, "0"))).otherwise(F.lit(""))
+    return F.concat(F.substring_index(text, ".", 1), shown, F.lit("+00:00"))

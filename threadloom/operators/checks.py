@@ -10,8 +10,8 @@ from threadloom.operators.replies import with_target
 
 
 def unresolved_refs(messages: DataFrame, names: DataFrame, cfg: ChatConfig) -> DataFrame:
-    """(kind, messages): messages whose author or channel has no name, or whose reply has no
-    usable target. Counted per id before the join, so a busy author or channel is one row."""
+    """(kind, messages): messages whose author or channel has no name, whose reply has no
+    usable target, or whose time could not be read. Counted per id before the join, so a busy author or channel is one row."""
 
     def unnamed(column: str, kind: str, rows: DataFrame) -> DataFrame:
         per_id = rows.groupBy(F.col(column).cast("string").alias("id")).agg(F.count("*").alias("n"))
@@ -22,6 +22,8 @@ def unresolved_refs(messages: DataFrame, names: DataFrame, cfg: ChatConfig) -> D
     replies = messages.withColumn("assigned", F.lit(False))
     lost = (with_target(replies, time="sent").filter(F.col("replyid").isNotNull() & F.col("target").isNull())
             .agg(F.count("*").alias("messages")).select(F.lit("reply_target").alias("kind"), "messages"))
+    untimed = (messages.filter(F.col("sent").isNull())
+               .agg(F.count("*").alias("messages")).select(F.lit("sent").alias("kind"), "messages"))
     return (unnamed("userid", "author", authors)
             .unionByName(unnamed("channelid", "channel", messages))
-            .unionByName(lost))
+            .unionByName(lost).unionByName(untimed))

@@ -27,7 +27,7 @@ from threadloom.config import UNASSIGNED, ChatConfig
 from threadloom.functions.times import micros, to_micros
 from threadloom.operators.ordered import Ordered, group_sizes, ordered, with_row_index
 from threadloom.operators.replies import resolve_roots, with_target
-from threadloom.operators.skew import hot_join
+from threadloom.operators.skew import has_hot_key, hot_join
 from threadloom.operators.thinning import greedy_thin
 from threadloom.storage import materialize
 
@@ -44,7 +44,8 @@ def _timeline(messages: DataFrame, cfg: ChatConfig) -> Ordered:
         "messageid", "channelid", "userid", "replyid", micros(messages, "sent").alias("t"),
         F.when(is_assigned(), F.col("conversid")).alias("known"), is_assigned().alias("assigned"))
     sizes = group_sizes(messages, ["channelid"])
-    hot = sizes[0] > cfg.max_group_rows
+    # A target may be answered from many channels, or be gone, so the reply ids are counted themselves.
+    hot = has_hot_key(rows.filter(~F.col("assigned")), "replyid", cfg.max_group_rows)
     rows = with_target(rows, cfg.on_missing_reply, hot=hot, max_key_rows=cfg.max_group_rows).drop("replyid")
     return ordered(rows, ["channelid"], ORDER, cfg.max_group_rows, sizes)
 
@@ -127,12 +128,14 @@ def assign_conversations(messages: DataFrame, cfg: ChatConfig, channels: DataFra
     if channels is None:
         numbered = with_row_index(breaks, ["channelid", *ORDER], "n")
     else:
-        numbered = with_row_index(breaks.join(channels, "channelid"), ["ordinal", *ORDER], "n")
+        once = channels.groupBy("channelid").agg(F.min("ordinal").alias("ordinal"))
+        numbered = with_row_index(breaks.join(once, "channelid"), ["ordinal", *ORDER], "n")
     roots = (numbered.select(F.col("messageid").alias("root"), (F.col("n") + first_id).alias("conversid"))
              .unionByName(segments.filter("assigned").select(
                  F.col("messageid").alias("root"), F.col("known").alias("conversid"))))
 
-    # Only a large channel can hold a head or a reply target that many messages share.
+    # Usable targets and heads are of the message's own channel, so only a large channel can hold
+    # one that many messages share.
     def join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         return hot_join(left, right, key, cfg.max_group_rows, hot=timeline.split)
 
@@ -159,15 +162,19 @@ def assign_new(new: DataFrame, prior: DataFrame, cfg: ChatConfig,
     new = in_channels(new.select(*columns), channels).withColumn("conversid", F.lit(UNASSIGNED).cast("long"))
     prior = prior.select(*columns).filter(is_assigned())
     starts = new.groupBy("channelid").agg(F.min(F.struct("sent", "messageid")).alias("_start"))
-    beside = prior.join(starts, "channelid")
+    beside = hot_join(prior, starts, "channelid", cfg.max_group_rows, "left")
     at = F.struct("sent", "messageid")
-    later = beside.filter(at >= F.col("_start")).select(*columns)
-    last = (beside.filter(at < F.col("_start")).groupBy("channelid")
-            .agg(F.max_by(F.struct(*columns), at).alias("_row")).select("_row.*"))
-    targets = prior.join(new.select(F.col("replyid").alias("messageid")).distinct(), "messageid", "left_semi")
-    context = later.unionByName(last).unionByName(targets.select(*columns)).dropDuplicates(["messageid"])
-    touched = materialize(new.unionByName(context), "touched")
-    first_id = max_conversation(prior).first()["max_conversid"] + 1
+    # One pass over the prior messages gives the last row of each channel and the largest id.
+    before = F.when(at < F.col("_start"), at)
+    ends = materialize(beside.groupBy("channelid").agg(
+        F.max("conversid").alias("conversid"), F.max_by(F.struct(*columns), before).alias("_row"),
+        F.max(before).alias("_before")), "ends")
+    first_id = max_conversation(ends).first()["max_conversid"] + 1
+    last = ends.filter(F.col("_before").isNotNull()).select("_row.*")
+    # A second one the rows late messages come before, and the reply targets.
+    asked = new.select(F.col("replyid").alias("messageid"), F.lit(True).alias("_asked")).filter("messageid IS NOT NULL").distinct()
+    seen = beside.join(asked, "messageid", "left").filter((at >= F.col("_start")) | F.col("_asked")).select(*columns)
+    touched = materialize(new.unionByName(seen.unionByName(last).dropDuplicates(["messageid"])), "touched")
     return assign_conversations(touched, cfg, channels, first_id)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.config import ChatConfig
@@ -42,16 +42,18 @@ def chat_triggers(messages: DataFrame, cfg: ChatConfig) -> DataFrame:
     return messages.filter(is_trigger(cfg)).select("messageid", "channelid", "userid", "sent", "content")
 
 
-def chat_context(messages: DataFrame, cfg: ChatConfig, names: DataFrame | None = None) -> DataFrame:
-    """(messageid, channelid, context) for each trigger: the newest ``history`` messages of its
+def chat_context(messages: DataFrame, cfg: ChatConfig, names: DataFrame | None = None,
+                 asked: Column | None = None) -> DataFrame:
+    """(messageid, channelid, context) for each trigger (among ``asked`` rows): the newest ``history`` messages of its
     channel up to the trigger itself, cleaned for live use; empty ones take a place unseen."""
 
     def lines(needed: DataFrame) -> DataFrame:
         return with_line(clean_messages(needed, cfg, False, names=names), cfg, False, names=names)
 
     found = with_history(
-        messages.select("messageid", "channelid", "userid", "sent", "content"), ["channelid"],
-        ["sent", "messageid"], is_target=is_trigger(cfg), lookback=cfg.history - 1, include_self=True,
+        messages.select("messageid", "channelid", "userid", "sent", "content",
+                        (F.lit(True) if asked is None else asked).alias("_asked")), ["channelid"],
+        ["sent", "messageid"], is_target=is_trigger(cfg) & F.col("_asked"), lookback=cfg.history - 1, include_self=True,
         item="line", max_group_rows=cfg.max_group_rows, prepare=lines)
     return found.select("messageid", "channelid", F.array_join("history", "\n").alias("context"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.config import MAX_GROUP_ROWS
 from threadloom.operators.ordered import group_sizes, ordered
+from threadloom.operators.skew import hot_join
 
 
 def with_history(rows: DataFrame, keys: list[str], order: list[str], *, is_target: Column,
@@ -28,7 +29,9 @@ def with_history(rows: DataFrame, keys: list[str], order: list[str], *, is_targe
     """
     largest, _ = group_sizes(rows, keys)
     rows = rows.withColumn("_target", is_target)
-    rows = rows.join(rows.filter("_target").select(*keys).distinct(), keys, "left_semi")
+    wanted = rows.filter("_target").select(*keys).distinct()
+    rows = (hot_join(rows, wanted, keys[0], max_group_rows, "left_semi", hot=largest > max_group_rows)
+            if len(keys) == 1 else rows.join(wanted, keys, "left_semi"))
     if largest <= max_group_rows:
         group = [*keys]
         rows = rows.withColumn(

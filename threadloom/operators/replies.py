@@ -12,13 +12,13 @@ from threadloom.operators.skew import hot_join
 from threadloom.storage import materialize
 
 
-def reply_join(messages: DataFrame) -> DataFrame:
+def reply_join(messages: DataFrame, max_key_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Each reply with its target's channel, author and time; nulls when the target is unknown."""
     target = messages.select(
         F.col("messageid").alias("replyid"), F.col("channelid").alias("target_channelid"),
         F.col("userid").alias("target_userid"), F.col("sent").alias("target_sent"))
-    return (messages.filter(F.col("replyid").isNotNull())
-            .select("messageid", "channelid", "replyid").join(target, "replyid", "left"))
+    asked = messages.filter(F.col("replyid").isNotNull()).select("messageid", "channelid", "replyid")
+    return hot_join(asked, target, "replyid", max_key_rows, "left")
 
 
 def with_target(rows: DataFrame, on_missing: str = "ignore", time: str = "t", hot: bool = True,

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.config import MAX_INLINE_NAMES, ChatConfig
+from threadloom.config import ChatConfig
 from threadloom.functions import text as X
+from threadloom.operators.skew import hot_join
 
 
 def names_table(df: DataFrame, cfg: ChatConfig) -> DataFrame:
     return df.sparkSession.createDataFrame(list(cfg.names.items()), "id string, name string")
 
 
-def _inline(cfg: ChatConfig) -> bool:
-    return len(cfg.names) <= MAX_INLINE_NAMES
+def _one_name_each(names: DataFrame) -> DataFrame:
+    """The first name in text order where an id is given more than once."""
+    return names.groupBy(F.col("id").cast("string").alias("id")).agg(F.min("name").alias("name"))
 
 
 def with_mention_names(df: DataFrame, text: Column, names: DataFrame, unique: str,
@@ -24,7 +26,7 @@ def with_mention_names(df: DataFrame, text: Column, names: DataFrame, unique: st
     Leaves the choice of join to Spark, so ``names`` may be of any size.
     """
     asked = df.select(unique, F.explode(F.array_distinct(X.mention_ids(text))).alias("id"))
-    found = (asked.join(names, "id").groupBy(unique)
+    found = (asked.join(_one_name_each(names), "id").groupBy(unique)
              .agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias(out)))
     return df.join(found, unique, "left").withColumn(out, F.coalesce(out, X.names_map({})))
 
@@ -34,16 +36,16 @@ def clean_messages(messages: DataFrame, cfg: ChatConfig, training: bool, out: st
     """Messages with scrubbed text in ``out``: commands and bot text blanked (training) or
     rewritten (live), then links and custom emoji removed, mentions named, white space tidied.
 
-    ``names`` (id, name) replaces the names of the config when there are too many to inline.
+    The names of the config become a literal. ``names`` (id, name), a table of any size, takes
+    their place and is joined; both give the same.
     """
     # A column per step: a step used twice would be evaluated twice inside one expression.
     text = F.col("_text")
     steps = (messages.withColumn("_text", X.chosen_text(F.col("content"), F.col("userid"), cfg, training))
              .withColumn("_text", X.strip_urls(text)).withColumn("_text", X.strip_emoji(text)))
-    if names is None and _inline(cfg):
+    if names is None:
         listed = X.names_map(cfg.names)
     else:
-        names = names_table(messages, cfg) if names is None else names
         steps = with_mention_names(steps, text, names, "messageid")
         listed = F.col("_names")
     resolved = X.replace_ids(text, F.col("_ids"), listed)
@@ -54,15 +56,14 @@ def with_line(messages: DataFrame, cfg: ChatConfig, training: bool, out: str = "
               names: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: ``Name: text``, null where the text is empty."""
     author, content = F.col("userid"), F.col("content")
-    if names is None and _inline(cfg):
+    if names is None:
         listed = F.try_element_at(X.names_map(cfg.names), author.cast("string"))
         name = X.author_name(author, listed, cfg, training)
         return messages.withColumn(out, F.when(content != "", X.format_line(name, content)))
-    names = names_table(messages, cfg) if names is None else names
-    listed = names.select(F.col("id").cast("long").alias("userid"), F.col("name").alias("_listed"))
+    listed = _one_name_each(names).select(F.col("id").alias("_id"), F.col("name").alias("_listed"))
     name = X.author_name(author, F.col("_listed"), cfg, training)
-    return (messages.join(listed, "userid", "left")
-            .withColumn(out, F.when(content != "", X.format_line(name, content))).drop("_listed"))
+    joined = hot_join(messages.withColumn("_id", author.cast("string")), listed, "_id", cfg.max_group_rows, "left")
+    return joined.withColumn(out, F.when(content != "", X.format_line(name, content))).drop("_id", "_listed")
 
 
 def format_messages(messages: DataFrame, cfg: ChatConfig, training: bool,

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, max_key_rows: int, how: str = "inner",
              hot: bool = True) -> DataFrame:
-    """``left`` joined with ``right`` (unique in ``key``), ``how`` being inner or left.
+    """``left`` joined with ``right`` (unique in ``key``), ``how`` being inner, left or left_semi.
 
     Keys with more than ``max_key_rows`` left rows, of which there are at most (left rows /
     max_key_rows), are joined by broadcast of just their right rows; all others by a plain join.
     With ``hot=False`` the caller knows that no such key exists.
     """
-    if not hot:
+    if left.isStreaming or not hot:
         return left.join(right, key, how)
     keys = (left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_key_rows)
             .filter(F.col(key).isNotNull()).select(key))
@@ -22,3 +22,9 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, max_key_rows: int, how
     large = left.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(few), key, how)
     rest = left.join(F.broadcast(keys), key, "left_anti").join(right, key, how)
     return rest.unionByName(large)
+
+
+def has_hot_key(rows: DataFrame, key: str, max_key_rows: int) -> bool:
+    """Whether some value of ``key`` has more rows than that, counted on the key itself."""
+    return not (rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+                .filter(F.col("_n") > max_key_rows).isEmpty())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.config import FOLDS, TEST_SHARE
 from threadloom.operators.ordered import with_row_index
+from threadloom.storage import materialize
 
 
 def percent_boundary(rows: int, percent: int) -> int:
@@ -25,7 +26,8 @@ def own_fold(index: Column, rows: int, folds: int = FOLDS) -> Column:
 
 def with_own_fold(examples: DataFrame, order: list[str], folds: int = FOLDS) -> DataFrame:
     """Adds ``row_index`` and ``own_fold``: contiguous validation slices in ``order``."""
-    indexed = with_row_index(examples, order)
+    # Numbering reads its input twice, so the examples are written first.
+    indexed = with_row_index(materialize(examples, "examples"), order)
     return indexed.withColumn("own_fold", own_fold(F.col("row_index"), indexed.count(), folds))
 
 
@@ -54,7 +56,7 @@ def random_split(examples: DataFrame, key: Column, unique: str = "messageid",
                  test_share: float = TEST_SHARE) -> DataFrame:
     """(id, split): the rows with the smallest ``key`` are for test, exactly ``test_share`` of
     them rounded up. ``key`` should be pseudo-random, such as a seeded hash."""
-    indexed = with_row_index(examples.select(unique, key.alias("_key")), ["_key", unique])
+    indexed = with_row_index(materialize(examples.select(unique, key.alias("_key")), "keys"), ["_key", unique])
     test_rows = math.ceil(Fraction(str(test_share)) * indexed.count())
     split = F.when(F.col("row_index") < test_rows, "test").otherwise("train")
     return indexed.select(unique, split.alias("split"))

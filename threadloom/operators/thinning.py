@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadloom.config import MAX_GROUP_ROWS
 from threadloom.operators.ordered import group_sizes, ordered
+from threadloom.operators.skew import hot_join
 from threadloom.storage import materialize
 
 
@@ -89,4 +90,4 @@ def _leap(points: DataFrame, keys: list[str], gap: int, max_group_rows: int) ->
         reached = reached.unionByName(hop)
         onward = leaps.select(F.col("_id").alias("_next"), F.col("_next").alias("_after"))
         leaps = materialize(
-            leaps.join(onward, "_next").select("_id", F.col("_after").alias("_next")), "leaps")
+            hot_join(leaps, onward, "_next", max_group_rows).select("_id", F.col("_after").alias("_next")), "leaps")

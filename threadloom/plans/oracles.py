@@ -217,6 +217,16 @@ folds AS (
   FROM numbered, range(10) r(k))"""
 
 
+JOINED = f"""
+nm AS (SELECT map_from_entries(list((CAST(c_custkey AS VARCHAR), c_name))) AS nm FROM customer),
+stripped AS (SELECT *, {emoji(urls('content'))} AS stripped FROM messages, nm),
+named AS (
+  SELECT * EXCLUDE (content, stripped, nm),
+         CASE WHEN starts_with(content, '/kc') OR userid = {CFG.bot_id} THEN ''
+              ELSE {spaces(mentions('stripped').replace(name_of('id'), 'nm[id]'))} END AS content
+  FROM stripped)"""
+
+
 def from_messages(select: str) -> str:
     return f"WITH {MESSAGES} SELECT {select} FROM messages"
 
@@ -243,6 +253,15 @@ ORACLES: dict[str, str] = {
              ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f+00:00') END AS sent_text,
         strftime(ts, '%Y-%m-%d %H:%M:%S+00:00') AS whole_text FROM events""",
     # Filters, order, limits
+    "message_table": from_messages("messageid, channelid, userid, sent, content"),
+    "channel_list": """SELECT c_custkey, CAST(k - 1 AS INTEGER) AS ordinal, TRY_CAST(ids[k] AS BIGINT) AS channelid
+        FROM (SELECT c_custkey, [CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR), CAST(c_custkey AS VARCHAR),
+                                 c_mktsegment] AS ids FROM customer), range(1, 5) r(k)""",
+    "parse_sent_bad": """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN date_trunc('second', ts) + INTERVAL 3 HOUR END AS sent
+        FROM events""",
+    "format_sent_zoned": """SELECT event_id, concat(strftime(u, '%Y-%m-%d %H:%M:%S'),
+               CASE WHEN date_trunc('second', u) = u THEN '' ELSE strftime(u, '.%f') END, '+00:00') AS sent_text
+        FROM (SELECT event_id, ts + INTERVAL 5 HOUR AS u FROM events)""",
     "channel_filter": from_messages("messageid, channelid, userid, sent, content") + " WHERE channelid = 7",
     "channel_semi_join": f"""WITH {MESSAGES}, {CHANNELS}
         SELECT messageid, channelid, userid, sent FROM messages WHERE channelid IN (SELECT channelid FROM channels)""",
@@ -267,13 +286,15 @@ ORACLES: dict[str, str] = {
           WHERE CAST(channelid AS VARCHAR) NOT IN (SELECT id FROM names)
         UNION ALL SELECT 'reply_target', count(*) FROM messages m WHERE replyid IS NOT NULL AND NOT EXISTS (
           SELECT 1 FROM messages t WHERE t.messageid = m.replyid AND t.channelid = m.channelid
-             AND (t.sent < m.sent OR (t.sent = m.sent AND t.messageid < m.messageid)))""",
+             AND (t.sent < m.sent OR (t.sent = m.sent AND t.messageid < m.messageid)))
+        UNION ALL SELECT 'sent', count(*) FROM messages WHERE sent IS NULL""",
     # Aggregates
     "latest_per_channel": f"""WITH {MESSAGES} SELECT channelid, messageid FROM messages
         QUALIFY row_number() OVER (PARTITION BY channelid ORDER BY sent DESC, messageid DESC) = 1""",
     "max_conversation": f"WITH RECURSIVE {MESSAGES}, {assigned('messages')} SELECT max(conversid) AS max_conversid FROM assigned",
     "distinct_conversations": f"WITH RECURSIVE {MESSAGES}, {assigned('messages')} SELECT DISTINCT conversid FROM assigned",
-    "ingest_stats": f"WITH {INGEST} SELECT channelid, count(*) AS fetched FROM fetched GROUP BY channelid",
+    "ingest_stats": f"""WITH {INGEST.replace('QUALIFY row_number() OVER (PARTITION BY m.channelid ORDER BY m.sent, m.messageid) <= 5', '')}
+        SELECT channelid, count(*) AS fetched FROM fetched GROUP BY channelid""",
     "clean_stats": f"""WITH {MESSAGES}, {cleaned(True)}
         SELECT count(*) FILTER (WHERE k.content <> '' AND k.content <> m.content) AS cleaned,
                count(*) FILTER (WHERE k.content = '') AS empty
@@ -345,7 +366,18 @@ ORACLES: dict[str, str] = {
     "random_split": f"""WITH RECURSIVE {EXAMPLES}
         SELECT messageid, CASE WHEN row_number() OVER (ORDER BY (messageid * 7919 + 17) % 1000003, messageid)
                  <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM examples""",
+    # The plans for large groups and joined names
+    "assign_conversations_split": f"""WITH RECURSIVE {MESSAGES}, {assigned('messages')}
+        SELECT messageid, conversid, isFirstInConvers FROM assigned""",
+    "training_examples_split": f"WITH RECURSIVE {EXAMPLES} SELECT * FROM examples",
+    "trigger_gate_split": GATE,
+    "clean_training_joined": f"WITH {MESSAGES}, {JOINED} SELECT messageid, content FROM named",
+    "format_messages_joined": f"""WITH {MESSAGES}, {JOINED}
+        SELECT messageid, concat(CASE WHEN userid = {CFG.bot_id} THEN {quoted(CFG.bot_label)} ELSE c_name END, ': ', content) AS line
+        FROM named LEFT JOIN customer ON c_custkey = userid WHERE content <> ''""",
     # Streams
+    "stream_ingest_backfill": from_messages("messageid, channelid, userid, sent, content, replyid"),
+    "stream_context_unordered": CONTEXT_ROWS,
     "stream_ingest": from_messages("messageid, channelid, userid, sent, content, replyid"),
     "stream_triggers": f"WITH {MESSAGES} {TRIGGERS}",
     "stream_context": CONTEXT_ROWS,

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import timedelta
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from threadloom.functions import text as X
 from threadloom.functions.prompts import first_candidate
@@ -14,11 +17,12 @@ from threadloom.functions.times import format_sent, parse_sent
 from threadloom.operators import aggregates, checks, conversations, examples, gate, replies, scrub, splits
 from threadloom.plans import prepare
 from threadloom.plans.fixture import CFG, ROLE_CFG, SPLIT, as_messages, messages, role_messages, table
+from threadloom.schema import MESSAGE, create_message_table
 from threadloom.sources.examples import read_examples, write_examples
-from threadloom.sources.messages import append_messages, flatten_raw, incremental_ingest
+from threadloom.sources.messages import append_messages, channels_of, flatten_raw, incremental_ingest, read_messages
 from threadloom.sources.names import explode_names
 from threadloom.storage import materialize, new_path
-from threadloom.streaming import streams
+from threadloom.streaming import runs, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +82,25 @@ def append_roundtrip(spark, sf_dir):
     return spark.read.schema(prior.schema).parquet(path).select(*prior.columns)
 
 
+@query
+def message_table(spark, sf_dir):
+    # A catalog table of the message schema, filled and read by name.
+    name = "messages_" + uuid4().hex
+    create_message_table(spark, name, new_path(spark, "message-table"))
+    m = messages(spark, sf_dir, replies=False)
+    at = F.to_timestamp_ltz(format_sent(F.col("sent")))
+    m.withColumn("sent", at).select(*MESSAGE.fieldNames()).write.insertInto(name)
+    return spark.table(name).select("messageid", "channelid", "userid", utc("sent"), "content")
+
+
+@query
+def channel_list(spark, sf_dir):
+    # Allow-lists as arrays of id text, with a repeated and a malformed id.
+    ids = F.array(*[F.col(c).cast("string") for c in ("c_custkey", "c_nationkey", "c_custkey")], F.col("c_mktsegment"))
+    lists = table(spark, sf_dir, "customer").select("c_custkey", ids.alias("ids"))
+    return channels_of(lists, "ids", "c_custkey")
+
+
 @query
 def names_dim(spark, sf_dir):
     return explode_names(table(spark, sf_dir, "events"), F.col("props"), "event_id")
@@ -108,6 +131,15 @@ def parse_sent_query(spark, sf_dir):
     return parsed.select("event_id", utc("sent"))
 
 
+@query
+def parse_sent_bad(spark, sf_dir):
+    # Text without an offset, a bare year, an impossible day and a good one.
+    whole = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    text = (F.when(F.col("event_id") % 4 == 0, whole).when(F.col("event_id") % 4 == 1, F.date_format("ts", "yyyy"))
+            .when(F.col("event_id") % 4 == 2, F.concat(F.date_format("ts", "yyyy"), F.lit("-02-31 10:00:00+00:00")))
+            .otherwise(F.concat(whole, F.lit("-03:00"))))
+    parsed = table(spark, sf_dir, "events").select("event_id", parse_sent(text).alias("sent"))
+    return parsed.select("event_id", utc("sent"))
 
 @query
 def format_sent_query(spark, sf_dir):
@@ -116,6 +148,14 @@ def format_sent_query(spark, sf_dir):
         format_sent(F.date_trunc("second", "ts")).alias("whole_text"))
 
 
+@query
+def format_sent_zoned(spark, sf_dir):
+    # The wall time is read as New York's, so the text is hours later.
+    zoned = F.convert_timezone(F.lit("America/New_York"), F.lit("UTC"), F.col("ts"))
+    at = F.to_timestamp_ltz(F.concat(zoned.cast("string"), F.lit("+00:00")))
+    return table(spark, sf_dir, "events").select("event_id", format_sent(at).alias("sent_text"))
+
+
 
 # Filters, order, limits
 
@@ -195,7 +235,8 @@ def distinct_conversations(spark, sf_dir):
 
 @query
 def ingest_stats(spark, sf_dir):
-    return aggregates.ingest_stats(incremental_ingest_query(spark, sf_dir))
+    prior, _ = _halves(spark, sf_dir)
+    return aggregates.ingest_stats(incremental_ingest(messages(spark, sf_dir), prior))
 
 
 @query
@@ -280,6 +321,26 @@ def format_messages(spark, sf_dir):
     return scrub.format_messages(cleaned, CFG, training=False)
 
 
+def _customer_names(spark, sf_dir):
+    """Names from a table: the customers', of which one is given twice and one has an odd id."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
+    odd = names.filter("id = '1'").select(F.lit("not-a-number").alias("id"), "name")
+    return names.unionByName(names.filter("id = '2'")).unionByName(odd)
+
+
+@query
+def clean_training_joined(spark, sf_dir):
+    rows = scrub.clean_messages(messages(spark, sf_dir, replies=False), CFG, True, names=_customer_names(spark, sf_dir))
+    return rows.select("messageid", "content")
+
+
+@query
+def format_messages_joined(spark, sf_dir):
+    names = _customer_names(spark, sf_dir)
+    cleaned = scrub.clean_messages(messages(spark, sf_dir, replies=False), CFG, True, names=names)
+    return scrub.format_messages(cleaned, CFG, True, names)
+
+
 # Conversations
 
 @query
@@ -307,6 +368,26 @@ def assign_conversations(spark, sf_dir):
     return conversations.assign_conversations(messages(spark, sf_dir), CFG).drop("channelid")
 
 
+SPLIT_CFG = replace(CFG, max_group_rows=50)
+
+
+@query
+def assign_conversations_split(spark, sf_dir):
+    # The plan for large groups: the limit is below most channels' rows.
+    return conversations.assign_conversations(messages(spark, sf_dir), SPLIT_CFG).drop("channelid")
+
+
+@query
+def training_examples_split(spark, sf_dir):
+    return prepare.prepare_examples(messages(spark, sf_dir), replace(CFG, max_group_rows=20))
+
+
+@query
+def trigger_gate_split(spark, sf_dir):
+    triggers = examples.chat_triggers(messages(spark, sf_dir, replies=False), CFG)
+    return gate.trigger_gate(triggers, BUSY, max_group_rows=3)
+
+
 @query
 def assign_conversations_listed(spark, sf_dir):
     return conversations.assign_conversations(
@@ -403,19 +484,47 @@ def _run(spark, stream, label):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _ingested(spark, parts, max_bytes=512 << 20):
+    """Lands each list of tables in turn, a run after each, and reads what was stored."""
+    landing, stored, mark = (new_path(spark, x) for x in ("landing", "stored", "mark"))
+    schema = parts[0][0].schema
+    for part in parts:
+        for df in part:
+            df.coalesce(1).write.mode("append").parquet(landing)
+        streams.ingest(streams.read_stream(spark, landing, schema, max_bytes), stored, mark)
+    return read_messages(spark, stored, schema=schema).select("messageid", "channelid", "userid", "sent", "content", "replyid")
+
+
 @query
 def stream_ingest(spark, sf_dir):
     # Two runs: the later half lands after the first run, together with a repeat of the earlier.
     prior, new = _halves(spark, sf_dir)
-    landing, stored, mark = (new_path(spark, x) for x in ("landing", "stored", "mark"))
-    prior.write.parquet(landing)
-    stream = streams.ingest_stream(streams.read_stream(spark, landing, prior.schema))
-    streams.run_to_parquet(stream, stored, mark)
-    new.unionByName(prior.filter(F.col("sent") >= F.lit(SPLIT - timedelta(days=1)))).write.mode(
-        "append").parquet(landing)
-    streams.run_to_parquet(stream, stored, mark)
-    return spark.read.schema(prior.schema).parquet(stored).select(
-        "messageid", "channelid", "userid", "sent", "content", "replyid")
+    return _ingested(spark, [[prior], [new.unionByName(prior.filter(F.col("sent") >= F.lit(SPLIT - timedelta(days=1))))]])
+
+
+@query
+def stream_ingest_backfill(spark, sf_dir):
+    # One channel's newer half first; then, a file a micro-batch, everyone's later half, their older
+    # histories and repeats of both.
+    prior, new = _halves(spark, sf_dir)
+    one = F.col("channelid") == CHANNEL
+    rest = [new.filter(~one), prior.filter(F.col("channelid") % 2 == 0), prior.filter(F.col("channelid") % 2 == 1),
+            new.filter(one | (F.col("messageid") % 5 == 0)), prior.filter(F.col("messageid") % 3 == 0)]
+    return _ingested(spark, [[new.filter(one)], rest], max_bytes=1)
+
+
+@query
+def stream_assign(spark, sf_dir):
+    # Three runs: the first half less some channels and rows; these late rows; the second half.
+    prior, new = _halves(spark, sf_dir)
+    late = F.col("messageid") % 11 == 0
+    unseen = F.col("channelid") % 5 == 0
+    landing, stored, mark, done = (new_path(spark, x) for x in ("landing", "stored", "mark", "assigned"))
+    for part in (prior.filter(~late & ~unseen), prior.filter(late | unseen), new):
+        part.write.mode("append").parquet(landing)
+        runs.ingest_run(spark, landing, stored, mark, prior.schema)
+        runs.assign_run(spark, stored, done, CFG, prior.schema)
+    return read_messages(spark, done, schema=prior.schema).select("messageid", "conversid", "isFirstInConvers")
 
 
 @query
@@ -423,15 +532,34 @@ def stream_triggers(spark, sf_dir):
     return _run(spark, streams.trigger_stream(_event_stream(spark, sf_dir), CFG), "triggers")
 
 
+CONTEXT = "messageid long, channelid long, context string"
+
+
 @query
 def stream_context(spark, sf_dir):
-    return _run(spark, streams.context_stream(_event_stream(spark, sf_dir), CFG), "context")
+    out = new_path(spark, "context")
+    streams.context_run(_event_stream(spark, sf_dir), CFG, out, new_path(spark, "context-work"))
+    return streams.read_results(spark, out, CONTEXT)
+
+
+@query
+def stream_context_unordered(spark, sf_dir):
+    # Files out of time order, one a micro-batch, in one run.
+    m = messages(spark, sf_dir, replies=False)
+    landing, out = new_path(spark, "landing"), new_path(spark, "context")
+    for first, last in ((21, 31), (11, 20), (1, 10)):
+        m.filter(F.dayofmonth("sent").between(first, last)).coalesce(1).write.mode("append").parquet(landing)
+    streams.context_run(streams.read_stream(spark, landing, m.schema, max_bytes=1), CFG, out, new_path(spark, "context-work"))
+    return streams.read_results(spark, out, CONTEXT)
 
 
 @query
 def stream_gate(spark, sf_dir):
     triggers = streams.trigger_stream(_event_stream(spark, sf_dir), CFG)
-    return _run(spark, streams.gate_stream(triggers, BUSY), "gate")
+    out = new_path(spark, "gate")
+    streams.gate_run(triggers, BUSY, out, new_path(spark, "gate-work"))
+    schema = StructType([triggers.schema[c] for c in ("channelid", "messageid", "sent")])
+    return streams.read_results(spark, out, schema)
 
 
 @query

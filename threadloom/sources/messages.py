@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.config import INGEST_LIMIT, UNASSIGNED
+from threadloom.config import MAX_GROUP_ROWS, UNASSIGNED
 from threadloom.functions.times import parse_sent
-from threadloom.operators.ordered import first_per_group
+from threadloom.operators.ordered import ordered
+from threadloom.operators.skew import hot_join
 from threadloom.schema import MESSAGE, RAW_MESSAGE, empty_messages
 
 
@@ -16,6 +17,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def children(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete tables written as ``path``/number; none if there is no folder."""
+    if not _exists(spark, path):
+        return []
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
+    names = [f.getPath().getName() for f in found]
+    return sorted(int(n) for n in names if n.isdigit() and _exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", schema=MESSAGE) -> DataFrame:
     """Stored messages; an absent folder is an empty table."""
     if not _exists(spark, path):
@@ -47,14 +58,19 @@ def newer_than(landing: DataFrame, marks: DataFrame) -> DataFrame:
     """Landed messages strictly newer than their channel's mark; all of them without a mark."""
     mark = marks.select("channelid", F.col("mark.sent").alias("_sent"), F.col("mark.messageid").alias("_id"))
     newer = F.col("_id").isNull() | (F.struct("sent", "messageid") > F.struct("_sent", "_id"))
-    return landing.join(mark, "channelid", "left").filter(newer).drop("_sent", "_id")
+    return hot_join(landing, mark, "channelid", MAX_GROUP_ROWS, "left").filter(newer).drop("_sent", "_id")
 
 
-def incremental_ingest(landing: DataFrame, stored: DataFrame, limit: int = INGEST_LIMIT) -> DataFrame:
-    """What one run fetches: per channel the oldest ``limit`` messages newer than the stored ones."""
+def incremental_ingest(landing: DataFrame, stored: DataFrame, limit: int | None = None,
+                       max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """What one run fetches: per channel the messages newer than the stored ones, of these the
+    oldest ``limit`` if one is given. The cut is by position in range chunks, so a large channel
+    stays spread over tasks at any limit."""
     fresh = newer_than(landing, high_water(stored))
-    return first_per_group(fresh, ["channelid"], [F.col("sent"), F.col("messageid")], limit,
-                           F.col("messageid")).drop("rank")
+    if limit is None:
+        return fresh
+    placed = ordered(fresh, ["channelid"], ["sent", "messageid"], max_group_rows).with_position("_n").plain()
+    return placed.filter(F.col("_n") < limit).drop("_n")
 
 
 def append_messages(messages: DataFrame, path: str) -> None:
@@ -73,7 +89,7 @@ def channel_list(spark: SparkSession, ids: list[str | int]) -> DataFrame:
         [(n, int(c)) for n, c in enumerate(ids)], "ordinal int, channelid long")
 
 
-def channels_of(table: DataFrame, ids: str) -> DataFrame:
-    """The same from an array column of id text."""
-    return (table.select(F.posexplode(ids).alias("ordinal", "id"))
-            .select("ordinal", F.expr("try_cast(id AS bigint)").alias("channelid")))
+def channels_of(table: DataFrame, ids: str, *keep: str) -> DataFrame:
+    """The same from an array column of id text, with the columns to keep; a bad id is null."""
+    return (table.select(*keep, F.posexplode(ids).alias("ordinal", "id"))
+            .select(*keep, "ordinal", F.expr("try_cast(id AS bigint)").alias("channelid")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -23,6 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _test_folders:
         _test_folders[app] = tempfile.mkdtemp(prefix="threadloom-")
+        atexit.register(shutil.rmtree, _test_folders[app], ignore_errors=True)
     return _test_folders[app]
 
 

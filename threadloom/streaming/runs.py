@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.config import ChatConfig
 from threadloom.operators.conversations import assign_new
-from threadloom.sources.messages import high_water, newer_than, read_messages
+from threadloom.sources.messages import read_messages
 from threadloom.storage import materialize
-from threadloom.streaming.streams import ingest_stream, read_stream, run_to_parquet
+from threadloom.streaming.streams import ingest, read_stream
 
 
 def ingest_run(spark: SparkSession, landing: str, table: str, checkpoint: str, schema) -> None:
     """Take over what has landed since the last run."""
-    run_to_parquet(ingest_stream(read_stream(spark, landing, schema)), table, checkpoint)
+    ingest(read_stream(spark, landing, schema), table, checkpoint)
 
 
 def assign_run(spark: SparkSession, table: str, assigned: str, cfg: ChatConfig, schema,
                channels: DataFrame | None = None) -> None:
-    """Assign the messages of ``table`` newer than those in ``assigned`` and append them there."""
+    """Assign the messages of ``table`` that are not in ``assigned`` and append them there.
+
+    Late messages are taken like any others; what is assigned already keeps its conversation.
+    """
     prior = read_messages(spark, assigned, schema=schema)
-    messages = read_messages(spark, table, schema=schema)
-    new = newer_than(messages, high_water(prior))
+    new = materialize(read_messages(spark, table, schema=schema)
+                      .join(prior.select("messageid"), "messageid", "left_anti"), "unassigned")
     found = assign_new(new, prior, cfg, channels).drop("channelid")
     rows = new.drop("conversid", "isFirstInConvers").join(found, "messageid")
     # Written aside first: the folder appended to is also read.

@@ -1,25 +1,34 @@
 """Streaming versions of ingest, trigger detection, busy gate and rolling context.
 
 All run with ``availableNow``: a run takes what has landed since the last one and stops, the
-checkpoint being the mark. ``max_bytes`` bounds one micro-batch and with it what the stateful
-task of a busy channel sorts.
+checkpoint being the mark. ``max_bytes`` only sizes micro-batches; no result depends on it or on
+the order of files.
+
+Gate and context work on a run as a whole. Micro-batches are staged first; then the run's rows and
+a small table of what earlier runs left behind per channel go through the batch operators. So
+inside a run rows are in time order whatever file they came in. Across runs this rule holds: a run
+answers the triggers that landed in it, and sees the rows of earlier runs only as far as they are
+among the newest of their channel; a row that lands in a later run than a trigger is not seen by
+that trigger, and a trigger older than the last one answered finds the channel busy. Landing must
+not repeat messages here; the table that ``ingest`` fills does not.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.config import ChatConfig
-from threadloom.functions.times import micros, to_micros
-from threadloom.operators.examples import chat_triggers, is_trigger
-from threadloom.operators.scrub import clean_messages, with_line
+from threadloom.operators.examples import chat_context, chat_triggers
+from threadloom.operators.gate import trigger_gate
+from threadloom.operators.ordered import first_per_group
 from threadloom.schema import MESSAGE
+from threadloom.sources.messages import children, read_messages
+
+Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
 
 def read_stream(spark: SparkSession, path: str, schema=MESSAGE, max_bytes: int = 512 << 20, **options) -> DataFrame:
@@ -34,59 +43,85 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def ingest_stream(stream: DataFrame, late: str = "7 days") -> DataFrame:
-    """New messages once each. Landing may repeat a message within ``late``; state is dropped after."""
-    return (stream.withColumn("_at", F.col("sent").cast("timestamp")).withWatermark("_at", late)
-            .dropDuplicatesWithinWatermark(["messageid"]).drop("_at"))
+def _run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
+    (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def ingest(stream: DataFrame, table: str, checkpoint: str) -> None:
+    """Append to ``table`` what has landed and is not there yet, each message once.
+
+    A message is new if its id is not stored, however old it is and whatever its channel; nothing
+    is held against a watermark. A batch that is run again after a failure finds its rows stored.
+    """
+    def land(batch: DataFrame, _: int) -> None:
+        stored = read_messages(batch.sparkSession, table, schema=batch.schema).select("messageid")
+        (batch.dropDuplicates(["messageid"]).join(stored, "messageid", "left_anti")
+         .select(*batch.columns).write.mode("append").parquet(table))
+
+    _run_batches(stream, checkpoint, land)
 
 
 def trigger_stream(stream: DataFrame, cfg: ChatConfig) -> DataFrame:
     return chat_triggers(stream, cfg)
 
 
-def gate_stream(triggers: DataFrame, busy: timedelta) -> DataFrame:
-    """Answered triggers; per channel the state is the time of the last answered one."""
-    span = to_micros(busy)
-
-    def answer(key, batches, state: GroupState):
-        rows = pd.concat(list(batches)).sort_values(["t", "messageid"])
-        last = state.get[0] if state.exists else None
-        answered = []
-        for row in rows.itertuples():
-            if last is None or row.t >= last + span:
-                last = row.t
-                answered.append((key[0], row.messageid, row.sent))
-        state.update((last,))
-        yield pd.DataFrame(answered, columns=["channelid", "messageid", "sent"])
-
-    sent_type = triggers.schema["sent"].dataType.simpleString()
-    return (triggers.select("channelid", "messageid", "sent", micros(triggers, "sent").alias("t"))
-            .groupBy("channelid").applyInPandasWithState(
-                answer, f"channelid long, messageid long, sent {sent_type}", "last long",
-                "append", GroupStateTimeout.NoTimeout))
-
-
-def context_stream(stream: DataFrame, cfg: ChatConfig) -> DataFrame:
-    """(messageid, channelid, context) for each trigger; per channel the state is the lines of
-    the last messages. Cleaning and formatting are done before the rows reach Python."""
-    keep = cfg.history - 1
-
-    def look_back(key, batches, state: GroupState):
-        rows = pd.concat(list(batches)).sort_values(["t", "messageid"])
-        recent = json.loads(state.get[0]) if state.exists else []
-        found = []
-        for row in rows.itertuples():
-            line = row.line if isinstance(row.line, str) else None
-            recent = recent[-keep:] + [line] if keep else [line]
-            if row.trigger:
-                found.append((row.messageid, key[0], "\n".join(x for x in recent if x is not None)))
-        state.update((json.dumps(recent[-keep:] if keep else []),))
-        yield pd.DataFrame(found, columns=["messageid", "channelid", "context"])
-
-    rows = stream.select("messageid", "channelid", "userid", "content", "sent",
-                         is_trigger(cfg).alias("trigger"))
-    lines = with_line(clean_messages(rows, cfg, training=False), cfg, training=False)
-    return (lines.select("channelid", "messageid", micros(lines, "sent").alias("t"), "line", "trigger")
-            .groupBy("channelid").applyInPandasWithState(
-                look_back, "messageid long, channelid long, context string", "lines string",
-                "append", GroupStateTimeout.NoTimeout))
+def _run_step(stream: DataFrame, out: str, work: str, step: Step) -> None:
+    """Stage what has landed, then let ``step`` turn the run's rows and the carried table into
+    results and the next carried table. A run that failed is made good by the next one."""
+    spark, schema = stream.sparkSession, stream.schema
+
+    def stage(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{work}/staged/{number}")
+
+    _run_batches(stream, f"{work}/checkpoint", stage)
+    staged = children(spark, f"{work}/staged")
+    done = max(children(spark, f"{work}/carried"), default=-1)
+    new = [n for n in staged if n > done]
+    if not new:
+        return
+    rows = spark.read.schema(schema).parquet(*[f"{work}/staged/{n}" for n in new])
+    carried = spark.read.parquet(f"{work}/carried/{done}") if done >= 0 else None
+    found, left = step(rows, carried)
+    found.write.mode("overwrite").parquet(f"{out}/{max(new)}")
+    left.write.mode("overwrite").parquet(f"{work}/carried/{max(new)}")
+
+
+def read_results(spark: SparkSession, out: str, schema) -> DataFrame:
+    """Results of all runs."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+
+
+def gate_run(stream: DataFrame, busy: timedelta, out: str, work: str) -> None:
+    """Write the answered ones of the landed triggers; carried is the last answered per channel."""
+    columns = ["channelid", "messageid", "sent"]
+    at = F.struct("sent", "messageid")
+
+    def step(rows: DataFrame, last: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        points = rows.select(*columns)
+        if last is not None:
+            marks = last.select("channelid", F.struct("sent", "messageid").alias("_mark"))
+            later = points.join(marks, "channelid", "left").filter(F.col("_mark").isNull() | (at > F.col("_mark")))
+            points = later.select(*columns).unionByName(last)
+        kept = trigger_gate(points, busy)
+        answered = kept if last is None else kept.join(last.select("messageid"), "messageid", "left_anti").select(*columns)
+        newest = kept.groupBy("channelid").agg(F.max_by(F.struct(*columns), at).alias("r")).select("r.*")
+        return answered, newest
+
+    _run_step(stream, out, work, step)
+
+
+def context_run(stream: DataFrame, cfg: ChatConfig, out: str, work: str, names: DataFrame | None = None) -> None:
+    """Write (messageid, channelid, context) of the landed triggers; carried are the newest
+    messages of each channel, as many as a trigger looks back at."""
+    columns = ["messageid", "channelid", "userid", "sent", "content"]
+
+    def step(rows: DataFrame, last: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = rows.select(*columns, F.lit(True).alias("_asked"))
+        if last is not None:
+            rows = rows.unionByName(last.withColumn("_asked", F.lit(False)))
+        newest = first_per_group(rows, ["channelid"], [F.col("sent").desc(), F.col("messageid").desc()],
+                                 cfg.history - 1, F.col("messageid"))
+        return chat_context(rows, cfg, names, asked=F.col("_asked")), newest.select(*columns)
+
+    _run_step(stream, out, work, step)
