@@ -67,6 +67,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; unsigned, since bitwise_count goes by the absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _near_pairs(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that connect whatever is connected among ``fps``; not all pairs."""
     left, links = fps, []
@@ -74,7 +79,7 @@ def _near_pairs(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
         todo, left = [left[0]], left[1:]
         while todo and left.size:
             x = todo.pop()
-            near = np.bitwise_count(left ^ x) <= max_bits
+            near = _distance(left, x) <= max_bits
             links += [(int(x), int(y)) for y in left[near]]
             todo += list(left[near])
             left = left[~near]
@@ -93,7 +98,7 @@ def _links_of_runs(key: np.ndarray, fp: np.ndarray, max_bits: int):
         pair = np.flatnonzero(r[step:] == r[:-step])
         if not pair.size:
             break
-        near = pair[np.bitwise_count(f[pair] ^ f[pair + step]) <= max_bits]
+        near = pair[_distance(f[pair], f[pair + step]) <= max_bits]
         a.append(f[near])
         b.append(f[near + step])
     for i in np.flatnonzero(size > SHORT_RUN):
