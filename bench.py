@@ -11,7 +11,7 @@ from threadloom.plans.registry import QUERIES
 from threadloom.session import build_session
 
 HEADLINE = ["clean_training", "clean_documents", "latest_per_channel", "chat_context", "trigger_gate",
-            "conversation_breaks", "assign_conversations", "training_examples", "kfold_split", "stream_ingest"]
+            "conversation_breaks", "assign_conversations", "training_examples", "kfold_split", "stream_ingest", "assign_conversations_split"]
 
 
 def run(spark, name: str, sf_dir: str) -> float:
