@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 from model import HOUR, Msg
+from pyspark.sql import functions as F
 from test_conversations import CFG, frame
 
 from threadloom.functions.times import format_sent, parse_sent
@@ -36,6 +37,41 @@ def test_raw_messages(spark, tmp_path):
     assert {(r.conversid, r.isFirstInConvers) for r in rows.values()} == {(-1, True)}
 
 
+def test_lines_that_are_no_message_are_listed(spark, tmp_path):
+    good = json.dumps({"id": 1, "channel": {"id": 1, "name": "a"}, "author": {"id": 1, "name": "b"},
+                       "created_at": "2024-01-02 03:04:05+00:00", "content": "x"})
+    (tmp_path / "day.json").write_text(good + "\n{broken\n")
+    assert [r.messageid for r in M.read_raw(spark, str(tmp_path)).collect()] == [1]
+    assert [r.line for r in M.unreadable_lines(spark, str(tmp_path)).collect()] == ["{broken"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_need_an_offset_and_show_utc_in_any_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2024-01-01 12:00:00+00:00", "2024-03-10 02:30:00.5-0500", "2024-01-01 12:00:00", "2024", "2024-01-01"]
+        df = spark.createDataFrame([(t,) for t in texts], "s string")
+        got = [r[0] for r in df.select(format_sent(parse_sent(df.s))).collect()]
+        assert got == ["2024-01-01 12:00:00+00:00", "2024-03-10 07:30:00.500000+00:00", None, None, None]
+        wall = df.limit(1).select(F.expr("timestamp_ntz'2024-03-10 02:30:00'").alias("w"))
+        assert wall.select(format_sent(wall.w)).first()[0] == "2024-03-10 02:30:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_names_may_be_odd_repeated_and_many(spark):
+    from threadloom.config import ChatConfig
+    from threadloom.operators import scrub
+    cfg = ChatConfig(bot_id=4, user_id=2, names={"1": "Ann", "2": "Tom", "no number": "x", **{f"a{i}": "y" for i in range(2_500)}})
+    rows = spark.createDataFrame([(1, 1, "hi <@2>"), (2, 2, "yo")], "messageid long, userid long, content string")
+    names = scrub.names_table(rows, cfg)
+    for given in (None, names, names.unionByName(names)):
+        cleaned = scrub.clean_messages(rows, cfg, True, names=given)
+        got = sorted(map(tuple, scrub.format_messages(cleaned, cfg, True, names=given).collect()))
+        assert got == [(1, "Ann: hi Tom"), (2, "Tom: yo")]
+
+
 def test_bad_time_is_null(spark):
     df = spark.createDataFrame([("yesterday",)], "s string")
     assert df.select(parse_sent(df.s)).first()[0] is None
@@ -54,7 +90,7 @@ def test_append_and_prune(spark, tmp_path):
     df = M.read_messages(spark, path).select(*MESSAGE.fieldNames())
     assert sorted(map(tuple, df.collect())) == rows
     plan = df.filter("channelid = 1")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(channelid" in plan
+    assert "PushedFilters: [IsNotNull(channelid), EqualTo(channelid,1)" in plan and "bucket" not in df.columns
 
 
 def test_ingest_takes_the_oldest_new_ones(spark):
@@ -103,7 +139,7 @@ def test_unresolved(spark):
     df = frame(spark, [Msg(1, 1, 1, 0), Msg(2, 1, 7, 1, 1), Msg(3, 5, 4, 2, 1), Msg(4, 5, 7, 3, 99)])
     names = spark.createDataFrame([("1", "Ann")], "id string, name string")
     got = dict(map(tuple, unresolved_refs(df, names, CFG).collect()))
-    assert got == {"author": 2, "channel": 2, "reply_target": 2}
+    assert got == {"author": 2, "channel": 2, "reply_target": 2, "sent": 0}
 
 
 def test_shared_folder_comes_from_the_session(spark):

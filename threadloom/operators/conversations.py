@@ -45,7 +45,7 @@ def _timeline(messages: DataFrame, cfg: ChatConfig) -> Ordered:
         F.when(is_assigned(), F.col("conversid")).alias("known"), is_assigned().alias("assigned"))
     sizes = group_sizes(messages, ["channelid"])
     # A target may be answered from many channels, or be gone, so the reply ids are counted themselves.
-    hot = has_hot_key(rows.filter(~F.col("assigned")), "replyid", cfg.max_group_rows)
+    hot = sizes[1] > cfg.max_group_rows and has_hot_key(rows.filter(~F.col("assigned")), "replyid", cfg.max_group_rows)
     rows = with_target(rows, cfg.on_missing_reply, hot=hot, max_key_rows=cfg.max_group_rows).drop("replyid")
     return ordered(rows, ["channelid"], ORDER, cfg.max_group_rows, sizes)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from threadloom.config import MAX_GROUP_ROWS, UNASSIGNED
 from threadloom.functions.times import parse_sent
@@ -12,6 +13,9 @@ from threadloom.operators.skew import hot_join
 from threadloom.schema import MESSAGE, RAW_MESSAGE, empty_messages
 
 
+BUCKETS = 64
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
@@ -31,12 +35,23 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", schema=M
     """Stored messages; an absent folder is an empty table."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema) if schema is not MESSAGE else empty_messages(spark)
-    return spark.read.schema(schema).format(fmt).load(path)
+    return spark.read.schema(schema).format(fmt).load(path).select(*schema.fieldNames())
+
+
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    schema = StructType([*RAW_MESSAGE.fields, StructField("_unread", StringType())])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_unread").json(path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON Lines as handed over by the chat service, flattened."""
-    return flatten_raw(spark.read.schema(RAW_MESSAGE).json(path))
+    """Landed JSON Lines as handed over by the chat service, flattened; see ``unreadable_lines``
+    for those left out."""
+    return flatten_raw(_raw_lines(spark, path).filter(F.col("_unread").isNull()))
+
+
+def unreadable_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, line) of landed lines that are no message, to be looked into."""
+    return _raw_lines(spark, path).filter(F.col("_unread").isNotNull()).select("id", F.col("_unread").alias("line"))
 
 
 def flatten_raw(raw: DataFrame) -> DataFrame:
@@ -74,13 +89,14 @@ def incremental_ingest(landing: DataFrame, stored: DataFrame, limit: int | None
 
 
 def append_messages(messages: DataFrame, path: str) -> None:
-    """Append to the message table, one folder per channel.
+    """Append to the message table, one folder per bucket of channels, sorted by channel.
 
-    Rebalancing gathers a channel's rows before the write and splits a large channel over
-    several files; the commit covers all channels at once.
+    Rebalancing gathers a bucket's rows before the write and splits a large bucket over several
+    files; the commit covers all at once. The number of folders does not grow with the channels.
     """
-    (messages.hint("rebalance", "channelid")
-     .write.mode("append").partitionBy("channelid").parquet(path))
+    bucketed = messages.withColumn("bucket", F.pmod(F.xxhash64("channelid"), F.lit(BUCKETS)).cast("int"))
+    (bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "channelid", "sent")
+     .write.mode("append").partitionBy("bucket").parquet(path))
 
 
 def channel_list(spark: SparkSession, ids: list[str | int]) -> DataFrame:
