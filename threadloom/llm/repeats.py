@@ -112,8 +112,9 @@ def repeated_ranges(texts: DataFrame, window: int, core: int, inner_core: int, c
     byte ranges. Equal (key, size) stand for equal texts."""
     ship(texts.sparkSession)
     rows = materialize(anchor_rows(texts, window, core), "anchors")
-    cores = (rows.groupBy("core").agg(F.count("*").alias("n"), F.min("kind").alias("a"), F.max("kind").alias("b"))
-             .filter("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed")))
+    # Written, so that the join shuffles both sides for itself and Spark may split a hot core.
+    cores = materialize(rows.groupBy("core").agg(F.count("*").alias("n"), F.min("kind").alias("a"), F.max("kind").alias("b"))
+                        .filter("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed")), "cores")
     rows = materialize(rows.join(cores, "core"), "repeated-anchors")
     kinds = materialize(rows.filter("mixed").groupBy("core", "kind").agg(
         F.count("*").alias("times"), F.min(F.struct("key", "size", "lo", "hi", "place")).alias("at")), "runs")
