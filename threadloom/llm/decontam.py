@@ -109,7 +109,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
     An empty benchmark finds nothing. Other columns are not read.
     """
     text = F.col(text_col)
-    found = window_hits(docs, benchmark, window, shingle, text_col, **options)
+    # Written, so that the join shuffles both sides for itself and Spark may split a hot text.
+    found = materialize(window_hits(docs, benchmark, window, shingle, text_col, **options), "window-hits")
     rows = docs.select(id_col, *keep, text_key(text).alias("key"), F.size(words(text)).cast("long").alias("n_words"))
     n_hit = covered(F.col("hits")).cast("long")
     return (rows.join(found, "key", "left").drop("key").withColumn("n_hit", n_hit)
