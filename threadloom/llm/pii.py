@@ -160,7 +160,8 @@ def find_spans(docs: DataFrame, rounds: int = 2, min_support: int = 5, min_score
     texts get equal spans. Other columns are not read.
     """
     scan = materialize(scanned(docs, id_col, text_col, keep), "pii-scan")
-    more = discovered_spans(scan, confident_patterns(scan, rounds, min_support, min_score))
+    # Written, so that the join shuffles both sides for itself and Spark may split a hot text.
+    more = materialize(discovered_spans(scan, confident_patterns(scan, rounds, min_support, min_score)), "pii-more")
     return with_more(scan.drop("slots"), more)
 
 
