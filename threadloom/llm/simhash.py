@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col:
                .agg(F.min("least").alias("reached")))
     linked = roots.join(of_root, "root").select(F.col("node").alias("fp"), "reached")
     classes = least.join(linked, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    return prints.join(classes, "fp").select(id_col, *keep, "fp", "component_id")
+    # Written, so that the join shuffles both sides for itself and Spark may split a hot fingerprint.
+    return prints.join(materialize(classes, "classes"), "fp").select(id_col, *keep, "fp", "component_id")
 
 
 def hex_fingerprint(fp=None):
