@@ -40,6 +40,12 @@ class Template:
     def words(self) -> list[str]:
         return re.findall(WORD, self.text.translate(str.maketrans(UPPER, LOWER)))
 
+    @property
+    def need(self) -> int:
+        """How many of its different words a block must hold."""
+        n = len(set(self.words))
+        return n if self.phrase else math.ceil(self.share * n - 1e-9)
+
 
 # The phrases and labels of the contract.
 PHRASES = (
@@ -106,9 +112,7 @@ def template_matches(rows: DataFrame, templates) -> DataFrame:
     found = []
     for t in templates:
         ordered = sorted(set(t.words), key=lambda w: (counts.get(w, 0), w))
-        n, need = len(ordered), math.ceil(t.share * len(set(t.words)) - 1e-9)
-        if t.phrase:
-            need = n
+        n, need = len(ordered), t.need
         prefix = [w for w in ordered[:n - need + 1] if counts.get(w)]
         if not prefix or sum(1 for w in ordered if counts.get(w)) < need:
             continue  # no block can hold enough of it

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import table
 from threadloom.llm.decontam import contamination
-from threadloom.llm.licenses import scan_licenses
+from threadloom.llm.licenses import NOTICES, PHRASES, scan_licenses
 from threadloom.llm.pii import KINDS, count_of, find_spans, listed
 from threadloom.llm.quality import score_quality
 from threadloom.llm.repeats import remove_repeats
@@ -95,7 +95,57 @@ QUERIES = {q.__name__: q for q in (op1_licenses, op2_pii, op3_exact_top_k, op4_s
 
 WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _templates_sql(templates) -> str:
+    """(label, stride, need, ws) of each template."""
+    rows = []
+    for t in templates:
+        own = sorted(set(t.words))
+        rows.append(f"('{t.label}', {len(t.words)}, {t.need}, {_sql_list(t.words if t.phrase else own)})")
+    return ", ".join(rows)
+
+
+def _hex_value(digits: str) -> str:
+    """Number of five hex digits."""
+    return f"list_reduce(list_transform(string_split({digits}, ''), lambda c: instr('0123456789abcdef', c) - 1), lambda a, b: a * 16 + b)"
+
+
 ORACLES = {
+    "op1_licenses": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS_SQL.format("text")}, []) AS w FROM documents),
+p(label, stride, need, ws) AS (VALUES {_templates_sql(PHRASES)}),
+n(label, stride, need, ws) AS (VALUES {_templates_sql(NOTICES)}),
+place AS (SELECT r, label, k - 1 AS pos, 1.0::DOUBLE AS s
+          FROM (SELECT r, w, p.*, unnest(range(1, len(w) - len(ws) + 2)) AS k FROM d, p) WHERE w[k:k + len(ws) - 1] = ws),
+block AS (SELECT r, label, need, len(ws) AS n, len(list_intersect(list_distinct(w[b * stride + 1:b * stride + 2 * stride]), ws)) AS o
+          FROM (SELECT r, w, n.*, unnest(range(0, len(w) // stride + 1)) AS b FROM d, n)),
+met AS (SELECT r, label, s FROM place UNION ALL SELECT r, label, o / n FROM block WHERE o >= need),
+base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+                array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM place GROUP BY r),
+every AS (SELECT r, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(s) AS score FROM met GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r)
+""",
+    "op8_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS keeper FROM h),
+v AS (SELECT *, list_transform(range(0, 8), lambda j: {_hex_value("substr(hex, CAST(5 * j + 1 AS INTEGER), 5)")}) AS parts FROM k)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('{BASE32}', CAST(1 + ((parts[CAST(i // 4 + 1 AS INTEGER)] >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN keeper IS NULL OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM v
+""",
     "op5_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS_SQL.format("text")}, []) AS w FROM documents),
 i AS (SELECT item_id, {WORDS_SQL.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
