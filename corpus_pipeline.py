@@ -19,48 +19,53 @@ from threadloom.llm.simhash import near_duplicates
 from threadloom.storage import materialize
 
 _ROW = "_pipeline_row_"
+BROADCAST_ROWS = 200_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Written once with a number per row, since ids may be missing or repeated."""
-    return materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "stage")
+    """With a number per row, since ids may be missing or repeated. The numbers come from the place
+    in a stored table, so two reads of one table agree and no copy of it is needed."""
+    return docs.withColumn(_ROW, F.monotonically_increasing_id())
 
 
-def _kept(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    return docs.join(rows.select(_ROW), _ROW, "left_semi").drop(_ROW)
+def _decided(rows: DataFrame) -> DataFrame:
+    """Decisions by row number, written; sent to every task if they are few, else joined by shuffle."""
+    rows = materialize(rows, "decisions")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     docs = _numbered(docs)
-    scored = score_quality(docs, table(spark, sf_dir, "labels"), keep=(_ROW,))
-    return _kept(docs, scored.filter("predicted = 1"))
+    found = score_quality(docs, table(spark, sf_dir, "labels"), keep=(_ROW,))
+    return docs.join(_decided(found.filter("predicted = 0").select(_ROW)), _ROW, "left_anti").drop(_ROW)
 
 
 def near_duplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; without ids, one row."""
     docs = _numbered(docs)
-    found = near_duplicates(docs, keep=(_ROW,))
+    found = materialize(near_duplicates(docs, keep=(_ROW,)), "near-duplicates")
     # A group's class is its smallest id; rows of null ids alone are their own fingerprint's class.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", _ROW)
-    return _kept(docs, found.groupBy(group).agg(F.min(order)[_ROW].alias(_ROW)))
+    stay = found.groupBy(group).agg(F.min(order)[_ROW].alias(_ROW))
+    return docs.join(_decided(found.select(_ROW).join(stay, _ROW, "left_anti")), _ROW, "left_anti").drop(_ROW)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     docs = _numbered(docs)
     found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=(_ROW,))
-    return _kept(docs, found.filter("not contaminated"))
+    return docs.join(_decided(found.filter("contaminated").select(_ROW)), _ROW, "left_anti").drop(_ROW)
 
 
 def personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data is replaced by its kind; n_chars follows the text."""
+    names = docs.columns
     docs = _numbered(docs)
-    found = find_spans(docs, keep=(_ROW,)).filter(F.size("spans") > 0).select(_ROW, "spans")
-    names = [c for c in docs.columns if c != _ROW]
+    found = find_spans(docs, keep=(_ROW,)).filter(F.size("spans") > 0).select(_ROW, F.col("spans").alias("_spans_"))
     text = F.when(F.col("_spans_").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans_")))
-    rows = docs.join(found.withColumnRenamed("spans", "_spans_"), _ROW, "left").withColumn("text", text)
+    rows = docs.join(_decided(found), _ROW, "left").withColumn("text", text)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(F.col("_spans_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
