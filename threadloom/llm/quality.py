@@ -55,7 +55,7 @@ def statistics(text: str | None) -> list[float]:
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, *keep, x array<double>) of every row."""
     ship(docs.sparkSession)
-    names = list(dict.fromkeys((id_col, *keep)))
+    names = [id_col, *keep]
 
     def run(batches):
         for batch in batches:
@@ -137,12 +137,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fo
     """
     rows = materialize(with_statistics(docs, id_col, text_col, keep), "statistics")
     out = F.coalesce(remainder(id_col, folds) == held, F.lit(False))
-    train = rows.filter(~out).join(labelled(labels, "quality", id_col), F.col(id_col) == F.col("_id_")).select("x", "y")
-    model = fit(train)
+    score = scorer(fit_labelled(rows, labels, folds, held, id_col))
+    return (rows.select(id_col, *keep, out.alias("held_out"), score("x").alias("score"))
+            .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+
+
+def fit_labelled(rows: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, id_col: str = "doc_id") -> Discriminant:
+    """From rows (id_col, x) and labels, less the held-out ids."""
+    out = F.coalesce(remainder(id_col, folds) == held, F.lit(False))
+    return fit(rows.filter(~out).join(labelled(labels, "quality", id_col), F.col(id_col) == F.col("_id_")).select("x", "y"))
+
 
+def scorer(model: Discriminant):
+    """Column function from ``x`` to the score."""
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.array(x.tolist(), float).reshape(len(x), -1)))
 
-    return (rows.select(id_col, *keep, out.alias("held_out"), score("x").alias("score"))
-            .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+    return score
