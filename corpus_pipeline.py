@@ -18,54 +18,70 @@ from threadloom.llm.sentencepieces import encode_decode
 from threadloom.llm.simhash import near_duplicates
 from threadloom.storage import materialize
 
-_ROW = "_pipeline_row_"
+_KEY = "_pipeline_key_"
 BROADCAST_ROWS = 200_000
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """With a number per row, since ids may be missing or repeated. The numbers come from the place
-    in a stored table, so two reads of one table agree and no copy of it is needed."""
-    return docs.withColumn(_ROW, F.monotonically_increasing_id())
+def _digest(text):
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a digest of the text, null counting as empty. Decisions that follow from the text alone
+    are joined by it: it is the same in every read of a table, however its files are cut, and no
+    copy of the table is needed."""
+    return docs.withColumn(_KEY, F.unhex(_digest(F.col("text"))))
 
 
 def _decided(rows: DataFrame) -> DataFrame:
-    """Decisions by row number, written; sent to every task if they are few, else joined by shuffle."""
+    """Decisions by key, written; sent to every task if they are few, else joined by shuffle."""
     rows = materialize(rows, "decisions")
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    docs = _numbered(docs)
-    found = score_quality(docs, table(spark, sf_dir, "labels"), keep=(_ROW,))
-    return docs.join(_decided(found.filter("predicted = 0").select(_ROW)), _ROW, "left_anti").drop(_ROW)
+    docs = _keyed(docs)
+    found = score_quality(docs, table(spark, sf_dir, "labels"), keep=(_KEY,))
+    return docs.join(_decided(found.filter("predicted = 0").select(_KEY).distinct()), _KEY, "left_anti").drop(_KEY)
 
 
 def near_duplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; without ids, one row."""
-    docs = _numbered(docs)
-    found = materialize(near_duplicates(docs, keep=(_ROW,)), "near-duplicates")
+    # By id and text; the digest of the text has a fixed length, so no two pairs read the same.
+    known = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.lit(""))
+    docs = docs.withColumn(_KEY, F.unhex(F.sha2(F.concat(_digest(F.col("text")), known), 256)))
+    found = materialize(near_duplicates(docs, keep=(_KEY,)), "near-duplicates")
     # A group's class is its smallest id; rows of null ids alone are their own fingerprint's class.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", _ROW)
-    stay = found.groupBy(group).agg(F.min(order)[_ROW].alias(_ROW))
-    return docs.join(_decided(found.select(_ROW).join(stay, _ROW, "left_anti")), _ROW, "left_anti").drop(_ROW)
+    rows = found.groupBy(group.alias("class"), "doc_id", _KEY).agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _KEY, "n")).alias("first")
+    stay = materialize(rows.groupBy("class").agg(first).select(f"first.{_KEY}", "first.n"), "staying")
+    rest = docs.join(_decided(found.select(_KEY).join(stay, _KEY, "left_anti").distinct()), _KEY, "left_anti")
+    # Rows that stay and have their id and text in common: one of them.
+    repeated = stay.filter("n > 1").select(_KEY)
+    if not repeated.isEmpty():
+        repeated = _decided(repeated)
+        rest = (rest.join(repeated, _KEY, "left_anti")
+                .unionByName(rest.join(repeated, _KEY, "left_semi").dropDuplicates([_KEY])))
+    return rest.drop(_KEY)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    docs = _numbered(docs)
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=(_ROW,))
-    return docs.join(_decided(found.filter("contaminated").select(_ROW)), _ROW, "left_anti").drop(_ROW)
+    docs = _keyed(docs)
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=(_KEY,))
+    return docs.join(_decided(found.filter("contaminated").select(_KEY).distinct()), _KEY, "left_anti").drop(_KEY)
 
 
 def personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data is replaced by its kind; n_chars follows the text."""
     names = docs.columns
-    docs = _numbered(docs)
-    found = find_spans(docs, keep=(_ROW,)).filter(F.size("spans") > 0).select(_ROW, F.col("spans").alias("_spans_"))
+    docs = _keyed(docs)
+    found = (find_spans(docs, keep=(_KEY,)).filter(F.size("spans") > 0)
+             .select(_KEY, F.col("spans").alias("_spans_")).dropDuplicates([_KEY]))
     text = F.when(F.col("_spans_").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans_")))
-    rows = docs.join(_decided(found), _ROW, "left").withColumn("text", text)
+    rows = docs.join(_decided(found), _KEY, "left").withColumn("text", text)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(F.col("_spans_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))

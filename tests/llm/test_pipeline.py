@@ -72,3 +72,40 @@ def test_odd_rows_pass_every_stage(spark):
     for _, stage in corpus_pipeline.STAGES:
         found = stage(spark, odd, SF)
         assert found.count() <= len(ODD) and stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_decisions_hold_when_files_are_cut_otherwise(spark, tmp_path, monkeypatch):
+    """A second read may be cut into other partitions, as after the loss of an executor."""
+    path = str(tmp_path / "docs")
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(12, "doc_id").write.parquet(path)
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before, waiting = {k: spark.conf.get(k) for k in (size, cost)}, corpus_pipeline._decided
+
+    def cut_anew(rows):
+        decided = waiting(rows)
+        spark.conf.set(size, "64m")
+        spark.conf.set(cost, "0")
+        return decided
+
+    for name, stage in corpus_pipeline.STAGES[:1]:
+        want = sorted(map(tuple, stage(spark, spark.read.parquet(path), SF).collect()))
+        monkeypatch.setattr(corpus_pipeline, "_decided", cut_anew)
+        try:
+            spark.conf.set(size, "8k")
+            spark.conf.set(cost, "4k")
+            got = sorted(map(tuple, stage(spark, spark.read.parquet(path), SF).collect()))
+        finally:
+            monkeypatch.setattr(corpus_pipeline, "_decided", waiting)
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert got == want, name
+
+
+def test_equal_rows_leave_one(spark):
+    rows = [(3, "same words here"), (3, "same words here"), (None, "none has an id"), (None, "none has an id"), (4, "same words here")]
+    found = corpus_pipeline.near_duplicate(spark, docs(spark, rows), SF)
+    assert sorted(map(str, ids_of(found))) == ["3", "None"]
+
+
+def ids_of(df):
+    return [r.doc_id for r in df.select("doc_id").collect()]
