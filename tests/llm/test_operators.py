@@ -115,6 +115,16 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(found[i].spans == found[i].base for i in (*range(20), 101))
 
 
+def test_grouped_phones_and_cards_are_seeds(spark):
+    rows = [(i, f"Please call us on +1 (838) 555-72{i:02d} today. Paid by card {c} then.") for i, c in enumerate(
+        ["4111 1111 1111 1111", "4111-1111-1111-1111", "5500 0000 0000 0004", "3400 000000 00009", "6011 0000 0000 0004", "4012 8888 8888 1881", "4222 2222 2222 2"])]
+    rows += [(100, "Please call us on 555 123 4567 today."), (101, "Paid by card 1234 5678 9012 then.")]
+    found = {r.doc_id: r for r in pii.find_spans(docs(spark, rows)).collect()}
+    for i, kind, part in ((100, 3, "555 123 4567"), (101, 2, "1234 5678 9012")):
+        start = dict(rows)[i].index(part)
+        assert [tuple(s) for s in found[i].spans] == [(start, kind, start + len(part))] and found[i].base == []
+
+
 def test_redaction(spark):
     t = "mail a@b.com or +1 (234) 567-8901, 4111111111111111."
     got = docs(spark, [(1, t), (2, "none")]).select(pii.redacted(F.col("text"), pii.base_spans(F.col("text")))).collect()

@@ -1,7 +1,7 @@
 """Personal data: fixed kinds by pattern, and more of them by bootstrapped contexts.
 
-The fixed kinds seed a graph of lexical patterns (the two words before a slot) and instances (the
-identifier-like tokens that fill it). A pattern's score for a kind is the share of its different
+The fixed kinds seed a graph of lexical patterns (the two words before a slot, fewer at a text's
+start) and instances (what fills it: spans of the fixed kinds, grouped digits, identifier-like words). A pattern's score for a kind is the share of its different
 instances held to be of that kind; patterns with enough support and a high score pass their score
 on to their other instances, and scoring repeats. What stands in a slot of a pattern that ends
 with a high score is reported as of its kind. Everything is built-in expressions, joins and
@@ -24,10 +24,17 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BYTE_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
-# A token with a digit, an @ or a low line in it.
-TOKEN = r"(?<!\S)[^\s0-9@_]*+[0-9@_]\S*+"
+# What may fill a slot, the first that fits: the words that hold a phone or card (as above, with so
+# many digits as these have), a run of groups of digits (19 at most, as in the longest card), or one
+# word with a digit, an @ or a low line in it.
+_PHONE_DIGITS = r"(?=\+(?:[ ().-]*+[0-9]){9,15}+(?![ ().-]*+[0-9]))\+(?:[ ().-]*+[0-9])++"
+_CARD_DIGITS = r"(?<![0-9])(?<![0-9][ -])(?=(?:[0-9][ -]?+){12,19}+(?![0-9]))[0-9](?:[ -]?+[0-9])++"
+_GROUP = r"[+(]*+[0-9][0-9().-]*+(?![^\s,;:!?\]])"
+_AT_MOST_19 = r"(?!(?:[+(]*+[0-9][().-]*+(?:(?<=[0-9)]) )?+){20})"
+SLOT = (rf"(?<!\S)(?:(?:\S*?(?:{_PHONE_DIGITS}|{_CARD_DIGITS}))++\S*+"
+        rf"|(?<![0-9)] ){_AT_MOST_19}{_GROUP}(?:(?<=[0-9)]) {_GROUP})++"
+        r"|[^\s0-9@_]*+[0-9@_]\S*+)")
 BLOCK = 256
-CONTEXT_CHARS = 64
 
 
 def let(value: Column, body) -> Column:
@@ -95,34 +102,69 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*map(spans, range(len(KINDS)))))
 
 
-def _left_words(gap: Column) -> Column:
-    """The last two words of the text before a slot, lower-cased; empty if there are fewer."""
-    tail = F.regexp_extract_all(F.lower(F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS)), F.lit(r"\S+"), F.lit(0))
-    return let(tail, lambda w: F.when(F.size(w) >= 2, F.array_join(F.slice(w, -2, 2), " ")).otherwise(""))
+def _words(text: Column) -> Column:
+    """Words of a text between slots, lower-cased, less what only opens or ends something."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0)), lambda w: ~w.rlike(r"^[(\[\"'<.,;:!?)\]>]++$"))
 
 
-def slots(text: Column) -> Column:
-    """Array of (start, end, token, left): identifier-like tokens, end punctuation stripped."""
-    def slot(x):
-        token = F.regexp_replace(x["text"], r"[.,;:!?)\]]++$", "")
-        return let(token, lambda t: F.struct(
-            x["start"].alias("start"), (x["start"] + F.length(t)).alias("end"), t.alias("token"),
-            _left_words(x["gap"]).alias("left")))
+def _form(token: Column) -> Column:
+    """What stands for an earlier slot among the words left of a slot."""
+    return F.when(token.contains("@"), "@").when(token.rlike("[0-9]"), "0").otherwise("_")
+
+
+def _last_two(words: Column) -> Column:
+    return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))
+
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,token:string,left:string>>)")
-    return F.when(text.rlike("[0-9@_]"), F.filter(F.transform(matches(text, TOKEN), slot), lambda s: s["left"] != "")).otherwise(none)
+def _instance(token: Column) -> Column:
+    """Grouped digits are the same instance however they are grouped."""
+    return F.when(token.rlike(r"^[+(]*+[0-9][0-9 ().-]*+$") & ~token.rlike(r"\..*\."), _digits(token)).otherwise(token)
 
 
-def _seed_kind(token: Column) -> Column:
-    return (F.when(token.rlike(rf"^{EMAIL}$"), F.lit(0)).when(token.rlike(BYTE_PARTS), F.lit(1))
-            .when(token.rlike("^[0-9]{12,19}$"), F.when(luhn(token), F.lit(2)))
-            .when(token.rlike(r"^\+[0-9]"), F.lit(3)))
+def slots(text: Column) -> Column:
+    """Array of (start, end, token, left, seed): what looks like an identifier, and the up to two
+    words left of it, slots among them by their form. Near the start of a text these are one or none.
+
+    Where a slot holds spans of the fixed kinds each gives a row with its kind as ``seed``. Else
+    ``seed`` is null, and the slot goes without end punctuation.
+    """
+    def rows(x):
+        def seed(s, i, spans, left):
+            inst = F.substring(x["text"], s["start"] + 1, s["end"] - s["start"])
+            before = F.transform(_words(F.substring(x["text"], F.lit(1), s["start"])),
+                                 lambda w: F.when(w.rlike("[0-9@_]"), _form(w)).otherwise(w))
+            return F.struct((x["start"] + s["start"]).alias("start"), (x["start"] + s["end"]).alias("end"),
+                            F.when(s["k"] >= 2, _digits(inst)).otherwise(inst).alias("token"),
+                            F.array_join(_last_two(F.concat(left, before)), " ").alias("left"), s["k"].alias("seed"))
+
+        def alone(left):
+            return let(F.regexp_replace(x["text"], r"[.,;:!?)\]]++$", ""), lambda t: F.array(F.struct(
+                x["start"].alias("start"), (x["start"] + F.length(t)).alias("end"), _instance(t).alias("token"),
+                F.array_join(left, " ").alias("left"), F.lit(None).cast("int").alias("seed"))))
+
+        # A card within a phone is no seed of its own.
+        outer = lambda spans: F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["end"] <= s["start"]))
+        return let(x["left"], lambda left: let(base_spans(x["text"]), lambda spans: F.when(F.size(spans) == 0, alone(left)).otherwise(
+            let(outer(spans), lambda own: F.transform(own, lambda s, i: seed(s, i, own, left))))))
+
+    def with_left(found):
+        # What is attached to the slot before is no word of its own.
+        gaps = F.transform(found, lambda x, i: _last_two(_words(F.when(i > 0, F.regexp_replace(x["gap"], r"^\S++", "")).otherwise(x["gap"]))))
+        forms = F.transform(found, lambda x: F.array(_form(x["text"])))
+        none = F.expr("cast(array() as array<string>)")
+        at = lambda values, i: F.when(i >= 0, F.get(values, i)).otherwise(none)
+        return let(gaps, lambda g: let(forms, lambda f: F.transform(found, lambda x, i: F.struct(
+            x["start"].alias("start"), x["text"].alias("text"),
+            _last_two(F.concat(at(f, i - 2), at(g, i - 1), at(f, i - 1), F.get(g, i))).alias("left")))))
+
+    none = F.expr("cast(array() as array<struct<start:int,end:int,token:string,left:string,seed:int>>)")
+    return F.when(text.rlike("[0-9@_]"), F.flatten(F.transform(let(matches(text, SLOT), with_left), rows))).otherwise(none)
 
 
 def confident_patterns(scan: DataFrame, rounds: int, min_support: int, min_score: float) -> DataFrame:
     """(left, k, score) of the patterns that end with a high score. ``scan`` has key and slots."""
-    edges = materialize(scan.select(F.explode("slots").alias("s")).select("s.left", "s.token").distinct()
-                        .withColumn("seed", _seed_kind(F.col("token"))), "pii-graph")
+    edges = materialize(scan.select(F.explode("slots").alias("s")).groupBy("s.left", "s.token")
+                        .agg(F.min("s.seed").alias("seed")), "pii-graph")
     sizes = edges.groupBy("left").agg(F.count("*").alias("n"))
     held = edges.filter("seed is not null").select("token", F.col("seed").alias("k"), F.lit(1.0).alias("weight")).distinct()
     patterns = None
@@ -147,7 +189,7 @@ def _overlaps(a: Column, spans: Column) -> Column:
 def discovered_spans(scan: DataFrame, patterns: DataFrame) -> DataFrame:
     """(key, more): spans (start, k, end) found by context alone, for each different text."""
     rows = scan.select("key", F.explode("slots").alias("s")).select("key", "s.*")
-    return (rows.filter(_seed_kind(F.col("token")).isNull()).join(patterns, "left")
+    return (rows.filter("seed is null").join(patterns, "left")
             .groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "k", "end"))).alias("more")))
 
 
