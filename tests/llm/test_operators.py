@@ -125,6 +125,16 @@ def test_grouped_phones_and_cards_are_seeds(spark):
         assert [tuple(s) for s in found[i].spans] == [(start, kind, start + len(part))] and found[i].base == []
 
 
+def test_contexts_after_slots_and_at_the_start(spark):
+    long_word = "x" * 80
+    rows = [(i, f"Tel: a{i}@b.cc fax c{i}@d.ee or {long_word} near e{i}@f.gg.") for i in range(20)]
+    rows += [(100, "Tel: x_1"), (101, "Tel: a1@b.cc fax y_2"), (102, f"Go {long_word} near z_3.")]
+    found = {r.doc_id: r for r in pii.find_spans(docs(spark, rows)).collect()}
+    for i, part in ((100, "x_1"), (101, "y_2"), (102, "z_3")):
+        start = dict(rows)[i].index(part)
+        assert (start, 0, start + len(part)) in [tuple(s) for s in found[i].spans], i
+
+
 def test_redaction(spark):
     t = "mail a@b.com or +1 (234) 567-8901, 4111111111111111."
     got = docs(spark, [(1, t), (2, "none")]).select(pii.redacted(F.col("text"), pii.base_spans(F.col("text")))).collect()
