@@ -52,11 +52,9 @@ def near_duplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.lit(""))
     docs = docs.withColumn(_KEY, F.unhex(F.sha2(F.concat(_digest(F.col("text")), known), 256)))
     found = materialize(near_duplicates(docs, keep=(_KEY,)), "near-duplicates")
-    # A group's class is its smallest id; rows of null ids alone are their own fingerprint's class.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
-    rows = found.groupBy(group.alias("class"), "doc_id", _KEY).agg(F.count("*").alias("n"))
+    rows = found.groupBy("component", "doc_id", _KEY).agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _KEY, "n")).alias("first")
-    stay = materialize(rows.groupBy("class").agg(first).select(f"first.{_KEY}", "first.n"), "staying")
+    stay = materialize(rows.groupBy("component").agg(first).select(f"first.{_KEY}", "first.n"), "staying")
     rest = docs.join(_decided(found.select(_KEY).join(stay, _KEY, "left_anti").distinct()), _KEY, "left_anti")
     # Rows that stay and have their id and text in common: one of them.
     repeated = stay.filter("n > 1").select(_KEY)

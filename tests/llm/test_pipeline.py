@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 import sentencepiece
-from fixtures import ODD, SF, docs
+from fixtures import ODD, SF, docs, long_text
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -107,5 +107,15 @@ def test_equal_rows_leave_one(spark):
     assert sorted(map(str, ids_of(found))) == ["3", "None"]
 
 
+def test_one_id_on_unlinked_texts(spark):
+    far = [long_text(60, seed) for seed in (1, 2, 3)]
+    near = long_text(400, 4)
+    rows = [(1, far[0]), (1, far[1]), (2, far[1]), (1, far[2]), (None, near), (None, near + " end")]
+    linked = {r.component for r in corpus_pipeline.near_duplicates(docs(spark, rows[4:])).collect()}
+    found = corpus_pipeline.near_duplicate(spark, docs(spark, rows), SF).collect()
+    assert len(linked) == 1 and sorted(r.text for r in found if r.doc_id == 1) == sorted(far)
+    assert len(found) == 4
+
+
 def ids_of(df):
     return [r.doc_id for r in df.select("doc_id").collect()]

@@ -163,7 +163,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, cell_rows: int = 20_000
 
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                     text_col: str = "text", cell_rows: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *keep, fp, component_id) of every row, component_id being the smallest id reachable.
+    """(id_col, *keep, fp, component_id, component) of every row, component_id being the smallest id
+    reachable, and component the smallest fingerprint of the component, which no other one shares.
 
     Texts that are null, empty or without words have fingerprint 0 and are linked like any other.
     Repeated rows and ids stay as they are; a null id is left out of the minimum, and a component
@@ -174,10 +175,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col:
     roots = materialize(components(fingerprint_links(prints, max_bits, cell_rows)), "components")
     of_root = (least.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root")
                .agg(F.min("least").alias("reached")))
-    linked = roots.join(of_root, "root").select(F.col("node").alias("fp"), "reached")
-    classes = least.join(linked, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
+    linked = roots.join(of_root, "root").select(F.col("node").alias("fp"), "reached", "root")
+    classes = least.join(linked, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"),
+                                                      F.coalesce("root", "fp").alias("component"))
     # Written, so that the join shuffles both sides for itself and Spark may split a hot fingerprint.
-    return prints.join(materialize(classes, "classes"), "fp").select(id_col, *keep, "fp", "component_id")
+    return prints.join(materialize(classes, "classes"), "fp").select(id_col, *keep, "fp", "component_id", "component")
 
 
 def hex_fingerprint(fp=None):
