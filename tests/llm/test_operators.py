@@ -39,7 +39,7 @@ def test_same_as_sql(spark, name):
 
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 # 1

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import table
 from threadloom.llm.decontam import contamination
 from threadloom.llm.licenses import NOTICES, PHRASES, scan_licenses
+from threadloom.llm.merkle import manifest, proof_text
+from threadloom.llm.packing import pack
 from threadloom.llm.pii import KINDS, count_of, find_spans, listed
 from threadloom.llm.quality import score_quality
 from threadloom.llm.repeats import remove_repeats
@@ -15,6 +17,7 @@ from threadloom.llm.simhash import hex_fingerprint, near_duplicates
 from threadloom.llm.topk import top_k
 from threadloom.llm.toxicity import score_toxicity
 from threadloom.llm.warc import archive_round_trip
+from threadloom.llm.whitening import whiten
 
 
 def op1_licenses(spark, sf_dir):
@@ -90,8 +93,34 @@ def op10_repeated_strings(spark, sf_dir):
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark, sf_dir):
+    """What are the leading whitened components of each vector?"""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    """Which digests and proof does each document have, and does it still lead to the root once
+    the line ends of some texts are gone?"""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n")))
+    found = manifest(table(spark, sf_dir, "documents"), tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256"),
+                        "folded_root", "verified")
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_packing(spark, sf_dir, tokenizer_path=None):
+    """Which pieces of the documents make up each sequence of 4096 tokens?"""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path or word_tokenizer())
+
+
 QUERIES = {q.__name__: q for q in (op1_licenses, op2_pii, op3_exact_top_k, op4_simhash_dedup, op5_decontamination, op6_quality,
-                                  op7_toxicity, op8_warc, op9_sentencepiece, op10_repeated_strings)}
+                                  op7_toxicity, op8_warc, op9_sentencepiece, op10_repeated_strings,
+                                  op11_whitening, op12_merkle_manifest, op13_packing)}
 
 WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -116,7 +145,65 @@ def _hex_value(digits: str) -> str:
     return f"list_reduce(list_transform(string_split({digits}, ''), lambda c: instr('0123456789abcdef', c) - 1), lambda a, b: a * 16 + b)"
 
 
+def _field_sql(value: str) -> str:
+    """A leaf's part of a column."""
+    return f"coalesce(concat(strlen(CAST({value} AS VARCHAR)), ':', {value}), '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _crc32_sql(digits: str) -> str:
+    """crc32 of ASCII text, a bit at a time."""
+    byte = "list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))".format(digits)
+    bits = "list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(a, b))"
+    return f"xor(list_reduce({byte}, lambda a, b: {bits}, 4294967295), 4294967295)"
+
+
+def _levels_sql(name: str, nodes: str) -> str:
+    """Table of all nodes (g, lvl, idx, h, n) over the lowest ones."""
+    return f"""
+{name}(g, lvl, idx, h, n) AS (
+  SELECT g, 0, idx, h, count(*) OVER (PARTITION BY g) FROM {nodes}
+  UNION ALL
+  SELECT g, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY g, lvl, idx // 3, n)"""
+
+
+def _climb_sql(name: str, start: str, levels: str) -> str:
+    """Table of each row's way up (r, g, lvl, idx, h, done, p): its node's digest and its siblings so far."""
+    return f"""
+{name}(r, g, lvl, idx, h, done, p) AS (
+  SELECT r, g, 0, idx, h, false, '' FROM {start}
+  UNION ALL
+  SELECT f.r, f.g, f.lvl + 1, f.idx // 3, sha256(string_agg(CASE WHEN s.idx = f.idx THEN f.h ELSE s.h END, '' ORDER BY s.idx)), false,
+         f.p || coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx <> f.idx), '')
+  FROM {name} f JOIN {levels} s ON s.g = f.g AND s.lvl = f.lvl AND s.idx // 3 = f.idx // 3
+  WHERE s.n > 1 GROUP BY f.r, f.g, f.lvl, f.idx, f.h, f.p)"""
+
+
 ORACLES = {
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf_sql("text")} AS leaf,
+         CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS other
+  FROM documents),
+k AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS g,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS idx FROM d),
+low AS (SELECT g, idx, leaf AS h FROM k),
+{_levels_sql("node", "low")},
+sub AS (SELECT 0 AS g, g - 1 AS idx, h, g AS of FROM node WHERE n = 1),
+{_levels_sql("top", "sub")},
+begin1 AS (SELECT r, g, idx, other AS h FROM k),
+{_climb_sql("up1", "begin1", "node")},
+end1 AS (SELECT r, g, h, p FROM up1 QUALIFY row_number() OVER (PARTITION BY r ORDER BY lvl DESC) = 1),
+begin2 AS (SELECT r, 0 AS g, g - 1 AS idx, h FROM end1),
+{_climb_sql("up2", "begin2", "top")},
+end2 AS (SELECT r, h, p FROM up2 QUALIFY row_number() OVER (PARTITION BY r ORDER BY lvl DESC) = 1)
+SELECT k.doc_id, k.leaf, sub.h AS subroot, t.h AS root, sha256(end1.p || end2.p) AS proof_sha256, end2.h AS folded_root, end2.h = t.h AS verified
+FROM k JOIN sub ON sub.of = k.g JOIN end1 ON end1.r = k.r JOIN end2 ON end2.r = k.r CROSS JOIN (SELECT h FROM top WHERE n = 1) t
+""",
     "op1_licenses": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS_SQL.format("text")}, []) AS w FROM documents),
 p(label, stride, need, ws) AS (VALUES {_templates_sql(PHRASES)}),
