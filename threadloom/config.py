@@ -19,6 +19,11 @@ TEST_SHARE = 0.2
 MAX_GROUP_ROWS = 1_000_000
 
 
+# Message ids rise with time at services that build them from milliseconds and 22 further bits. So many
+# ids, a day's, share a folder of a stored table: what lands together is found in few folders.
+ID_WIDTH = 86_400_000 << 22
+
+
 @dataclass(frozen=True)
 class ChatConfig:
     """Who the bot is, whom it speaks for, and how ids are named.

@@ -148,6 +148,44 @@ joined{tag} AS (
   FROM {source} m JOIN assigned{tag} a USING (messageid))"""
 
 
+def assign_over(tag: str, old: str | None, new: str) -> str:
+    """Table stored{tag} of (old rows and) new ones with conversations; old rows keep theirs and stand
+    anywhere in time among the new ones."""
+    columns = "messageid, channelid, userid, sent, replyid"
+    kept = f"UNION ALL SELECT {columns}, conversid AS known, isFirstInConvers AS opens FROM {old}" if old else ""
+    anchor = "CASE WHEN s.known IS NOT NULL OR m.userid <> s.userid THEN s.sent ELSE s.anchor END"
+    brk = f"(m.known IS NULL AND m.target IS NULL AND {anchor} < m.sent - {GAP})"
+    return f"""
+every{tag} AS (SELECT {columns}, NULL::BIGINT AS known, NULL::BOOLEAN AS opens FROM {new} {kept}),
+ranked{tag} AS (
+  SELECT s.*, t.messageid AS target, row_number() OVER (PARTITION BY s.channelid ORDER BY s.sent, s.messageid) AS rn
+  FROM every{tag} s LEFT JOIN every{tag} t ON t.messageid = s.replyid AND t.channelid = s.channelid
+   AND (t.sent < s.sent OR (t.sent = s.sent AND t.messageid < s.messageid))),
+walk{tag} AS (
+  SELECT messageid, channelid, userid, sent, known, target, rn, known IS NULL AS is_break, sent AS anchor, messageid AS head
+  FROM ranked{tag} WHERE rn = 1
+  UNION ALL
+  SELECT m.messageid, m.channelid, m.userid, m.sent, m.known, m.target, m.rn, {brk},
+         CASE WHEN m.known IS NOT NULL OR {brk} THEN m.sent ELSE {anchor} END,
+         CASE WHEN m.known IS NOT NULL OR {brk} OR m.target IS NOT NULL THEN m.messageid ELSE s.head END
+  FROM walk{tag} s JOIN ranked{tag} m ON m.channelid = s.channelid AND m.rn = s.rn + 1),
+roots{tag} AS (
+  SELECT messageid AS head, known AS conversid FROM walk{tag} WHERE known IS NOT NULL
+  UNION ALL
+  SELECT messageid, (SELECT coalesce(max(known), -1) FROM every{tag}) + row_number() OVER (ORDER BY channelid, sent, messageid)
+  FROM walk{tag} WHERE is_break),
+links{tag} AS (
+  SELECT w.messageid AS head, t.head AS parent FROM walk{tag} w JOIN walk{tag} t ON t.messageid = w.target
+  WHERE NOT w.is_break AND w.known IS NULL),
+heads{tag} AS (
+  SELECT head, conversid FROM roots{tag}
+  UNION ALL
+  SELECT l.head, h.conversid FROM heads{tag} h JOIN links{tag} l ON l.parent = h.head),
+stored{tag} AS (
+  SELECT e.* EXCLUDE (known, opens), CAST(h.conversid AS BIGINT) AS conversid, coalesce(e.opens, w.is_break) AS isFirstInConvers
+  FROM every{tag} e JOIN walk{tag} w USING (messageid) JOIN heads{tag} h ON h.head = w.head)"""
+
+
 HISTORY = "PARTITION BY conversid ORDER BY sent, messageid ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING"
 
 
@@ -382,5 +420,19 @@ ORACLES: dict[str, str] = {
     "stream_triggers": f"WITH {MESSAGES} {TRIGGERS}",
     "stream_context": CONTEXT_ROWS,
     "stream_gate": GATE,
+    "live_context": CONTEXT_ROWS,
+    "live_gate": GATE,
+    "stream_ingest_json": f"""WITH {MESSAGES}
+        SELECT messageid, channelid, userid, sent, content, replyid, NULL AS line FROM messages
+        WHERE messageid % 97 <> 0 AND messageid % 89 <> 0
+        UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL,
+          CASE WHEN messageid % 97 = 0 THEN concat('{{"id": ', messageid, ', "channel') ELSE concat('{{"content":"', messageid, '"}}') END
+        FROM messages WHERE messageid % 97 = 0 OR messageid % 89 = 0""",
+    "stream_assign": f"""WITH RECURSIVE {MESSAGES},
+        part_1 AS (SELECT * FROM messages WHERE sent < {SPLIT_AT} AND messageid % 11 <> 0 AND channelid % 5 <> 0),
+        part_2 AS (SELECT * FROM messages WHERE sent < {SPLIT_AT} AND (messageid % 11 = 0 OR channelid % 5 = 0)),
+        part_3 AS (SELECT * FROM messages WHERE sent >= {SPLIT_AT}),
+        {assign_over('_1', None, 'part_1')}, {assign_over('_2', 'stored_1', 'part_2')}, {assign_over('_3', 'stored_2', 'part_3')}
+        SELECT messageid, conversid, isFirstInConvers FROM stored_3""",
     "trigger_gate": GATE,
 }

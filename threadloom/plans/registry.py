@@ -22,7 +22,7 @@ from threadloom.sources.examples import read_examples, write_examples
 from threadloom.sources.messages import append_messages, channels_of, flatten_raw, incremental_ingest, read_messages
 from threadloom.sources.names import explode_names
 from threadloom.storage import materialize, new_path
-from threadloom.streaming import runs, streams
+from threadloom.streaming import live, runs, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,7 @@ BUSY = timedelta(hours=30)
 CHANNEL = 7
 INGEST_TEST_LIMIT = 5
 SEED = 17
+ID_WIDTH = 2_500  # of the fixture's ids, which are dense
 
 
 def query(fn: Query) -> Query:
@@ -491,7 +492,7 @@ def _ingested(spark, parts, max_bytes=512 << 20):
     for part in parts:
         for df in part:
             df.coalesce(1).write.mode("append").parquet(landing)
-        streams.ingest(streams.read_stream(spark, landing, schema, max_bytes), stored, mark)
+        streams.ingest(streams.read_stream(spark, landing, schema, max_bytes), stored, mark, ID_WIDTH)
     return read_messages(spark, stored, schema=schema).select("messageid", "channelid", "userid", "sent", "content", "replyid")
 
 
@@ -513,6 +514,33 @@ def stream_ingest_backfill(spark, sf_dir):
     return _ingested(spark, [[new.filter(one)], rest], max_bytes=1)
 
 
+def _raw_lines(m):
+    """Messages as the chat service hands them over, some lines broken off and some naming no message."""
+    raw = F.struct(
+        F.col("messageid").alias("id"), F.struct(F.col("channelid").alias("id"), F.col("channelname").alias("name")).alias("channel"),
+        F.struct(F.col("userid").alias("id"), F.col("username").alias("name")).alias("author"),
+        format_sent(F.col("sent")).alias("created_at"), "content",
+        F.when(F.col("replyid").isNotNull(), F.struct(F.col("replyid").alias("message_id"))).alias("reference"))
+    broken = F.concat(F.lit('{"id": '), F.col("messageid"), F.lit(', "channel'))
+    unnamed = F.concat(F.lit('{"content":"'), F.col("messageid"), F.lit('"}'))
+    return m.select(F.when(F.col("messageid") % 97 == 0, broken).when(F.col("messageid") % 89 == 0, unnamed).otherwise(F.to_json(raw)).alias("value"))
+
+
+@query
+def stream_ingest_json(spark, sf_dir):
+    # Two runs; the second brings part of the first half again, its broken lines left out.
+    prior, new = _halves(spark, sf_dir)
+    again = prior.filter((F.col("sent") >= F.lit(SPLIT - timedelta(days=1))) & (F.col("messageid") % 97 != 0) & (F.col("messageid") % 89 != 0))
+    landing, stored, unread, work = (new_path(spark, x) for x in ("landing", "stored", "unread", "work"))
+    for part in (prior, new.unionByName(again)):
+        _raw_lines(part).write.mode("append").text(landing)
+        streams.ingest_json(streams.read_line_stream(spark, landing), stored, unread, work, ID_WIDTH)
+    kept = read_messages(spark, stored)
+    lost = streams.read_results(spark, unread, "line string")
+    return (kept.select("messageid", "channelid", "userid", utc("sent"), "content", "replyid", F.lit(None).cast("string").alias("line"))
+            .unionByName(lost, allowMissingColumns=True))
+
+
 @query
 def stream_assign(spark, sf_dir):
     # Three runs: the first half less some channels and rows; these late rows; the second half.
@@ -522,8 +550,8 @@ def stream_assign(spark, sf_dir):
     landing, stored, mark, done = (new_path(spark, x) for x in ("landing", "stored", "mark", "assigned"))
     for part in (prior.filter(~late & ~unseen), prior.filter(late | unseen), new):
         part.write.mode("append").parquet(landing)
-        runs.ingest_run(spark, landing, stored, mark, prior.schema)
-        runs.assign_run(spark, stored, done, CFG, prior.schema)
+        runs.ingest_run(spark, landing, stored, mark, prior.schema, ID_WIDTH)
+        runs.assign_run(spark, stored, done, CFG, prior.schema, width=ID_WIDTH)
     return read_messages(spark, done, schema=prior.schema).select("messageid", "conversid", "isFirstInConvers")
 
 
@@ -553,6 +581,28 @@ def stream_context_unordered(spark, sf_dir):
     return streams.read_results(spark, out, CONTEXT)
 
 
+def _live(spark, sf_dir, busy):
+    # In order of time, a file a week, a file a micro-batch; stopped in the middle and started again.
+    m = messages(spark, sf_dir, replies=False)
+    landing, out, mark = (new_path(spark, x) for x in ("landing", "answers", "mark"))
+    for first, last in ((1, 14), (15, 31)):
+        for day in range(first, last, 7):
+            m.filter(F.dayofmonth("sent").between(day, min(day + 6, last))).coalesce(1).write.mode("append").parquet(landing)
+        answers = live.live_answers(streams.read_stream(spark, landing, m.schema, max_bytes=1), CFG, busy)
+        streams.run_to_parquet(answers, out, mark)
+    return spark.read.schema(answers.schema).parquet(out)
+
+
+@query
+def live_context(spark, sf_dir):
+    return _live(spark, sf_dir, None).drop("sent")
+
+
+@query
+def live_gate(spark, sf_dir):
+    return _live(spark, sf_dir, BUSY).drop("context")
+
+
 @query
 def stream_gate(spark, sf_dir):
     triggers = streams.trigger_stream(_event_stream(spark, sf_dir), CFG)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from threadloom.config import MAX_GROUP_ROWS, UNASSIGNED
+from threadloom.config import ID_WIDTH, MAX_GROUP_ROWS, UNASSIGNED
 from threadloom.functions.times import parse_sent
 from threadloom.operators.ordered import ordered
 from threadloom.operators.skew import hot_join
@@ -21,14 +21,57 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def children(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete tables written as ``path``/number; none if there is no folder."""
+def _names(spark: SparkSession, path: str) -> list[str]:
     if not _exists(spark, path):
         return []
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
-    names = [f.getPath().getName() for f in found]
-    return sorted(int(n) for n in names if n.isdigit() and _exists(spark, f"{path}/{n}/_SUCCESS"))
+    return [f.getPath().getName() for f in found]
+
+
+def children(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete tables written as ``path``/number; none if there is no folder."""
+    return sorted(int(n) for n in _names(spark, path) if n.isdigit() and _exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def in_ranges(spark: SparkSession, path: str, schema, ranges: list[int]) -> DataFrame:
+    """Rows of a table written by :func:`append_by_id` whose ids fall in these ranges; no other folder
+    is read or listed."""
+    there = set(_names(spark, path))
+    paths = [f"{path}/ids={r}" for r in ranges if f"ids={r}" in there]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def id_range(ids: str, width: int = ID_WIDTH):
+    return F.expr(f"{ids} div {width}L")
+
+
+def id_ranges(rows: DataFrame, ids: str = "messageid", width: int = ID_WIDTH) -> list[int]:
+    """The ranges the ids fall in: one value for ``width`` ids at most, so few."""
+    found = rows.select(id_range(ids, width).alias("r")).filter("r IS NOT NULL").distinct().collect()
+    return sorted(r.r for r in found)
+
+
+def not_stored(rows: DataFrame, path: str, width: int = ID_WIDTH) -> DataFrame:
+    """Each message once, less those whose id is in the table at ``path``, of which only the ids in
+    the ranges of ``rows`` are read."""
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(["messageid"])
+    if not _names(spark, path):
+        return rows
+    key = StructType([rows.schema["messageid"]])
+    return rows.join(in_ranges(spark, path, key, id_ranges(rows, width=width)), "messageid", "left_anti")
+
+
+def append_by_id(rows: DataFrame, path: str, width: int = ID_WIDTH) -> None:
+    """Append, one folder a range of ids; a range holds ``width`` rows at most, if ids are unique."""
+    (rows.withColumn("ids", id_range("messageid", width)).hint("rebalance", "ids")
+     .write.mode("append").partitionBy("ids").parquet(path))
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", schema=MESSAGE) -> DataFrame:
@@ -38,9 +81,18 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", schema=M
     return spark.read.schema(schema).format(fmt).load(path).select(*schema.fieldNames())
 
 
+def parse_raw(lines: DataFrame) -> DataFrame:
+    """Text lines (value) as raw messages, with ``_unread``: the line, if it is no JSON of this kind or
+    names no message. Blank lines go. Works on streams too."""
+    schema = StructType([*RAW_MESSAGE.fields, StructField("_broken", StringType())])
+    raw = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = lines.filter(F.trim("value") != "").select("value", raw.alias("raw"))
+    bad = F.col("raw").isNull() | F.col("raw._broken").isNotNull() | F.col("raw.id").isNull()
+    return rows.select("raw.*", F.when(bad, F.col("value")).alias("_unread")).drop("_broken")
+
+
 def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    schema = StructType([*RAW_MESSAGE.fields, StructField("_unread", StringType())])
-    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_unread").json(path)
+    return parse_raw(spark.read.text(path))
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:

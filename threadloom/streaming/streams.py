@@ -21,12 +21,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.config import ChatConfig
+from threadloom.config import ID_WIDTH, ChatConfig
 from threadloom.operators.examples import chat_context, chat_triggers
 from threadloom.operators.gate import trigger_gate
 from threadloom.operators.ordered import first_per_group
 from threadloom.schema import MESSAGE
-from threadloom.sources.messages import children, read_messages
+from threadloom.sources.messages import append_by_id, children, flatten_raw, not_stored, parse_raw, remove
 
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
@@ -48,18 +48,63 @@ def _run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str) -> None:
+def _stage(stream: DataFrame, work: str, split: Callable[[DataFrame, int], DataFrame] = lambda batch, number: batch) -> None:
+    """Write what has landed to ``work``/staged, a folder a micro-batch. A batch that is run again
+    after a failure holds the same files and takes the place of its first try."""
+    def stage(batch: DataFrame, number: int) -> None:
+        split(batch, number).write.mode("overwrite").parquet(f"{work}/staged/{number}")
+
+    _run_batches(stream, f"{work}/checkpoint", stage)
+
+
+def staged(spark: SparkSession, work: str, schema, extra: list[str] | None = None) -> tuple[list[int], DataFrame | None]:
+    """(numbers, rows) of what is staged and not yet dropped, with further tables of the same schema."""
+    numbers = children(spark, f"{work}/staged")
+    paths = [f"{work}/staged/{n}" for n in numbers] + (extra or [])
+    return numbers, spark.read.schema(schema).parquet(*paths) if paths else None
+
+
+def drop_staged(spark: SparkSession, work: str, numbers: list[int]) -> None:
+    for n in numbers:
+        remove(spark, f"{work}/staged/{n}")
+
+
+def _store(spark: SparkSession, table: str, work: str, schema, width: int) -> None:
+    numbers, rows = staged(spark, work, schema)
+    if rows is None:
+        return
+    append_by_id(not_stored(rows, table, width), table, width)
+    drop_staged(spark, work, numbers)
+
+
+def ingest(stream: DataFrame, table: str, work: str, width: int = ID_WIDTH) -> None:
     """Append to ``table`` what has landed and is not there yet, each message once.
 
     A message is new if its id is not stored, however old it is and whatever its channel; nothing
-    is held against a watermark. A batch that is run again after a failure finds its rows stored.
+    is held against a watermark. The run's micro-batches are staged and joined once, with the stored
+    ids of the id ranges they fall in, so a run costs what has landed and not what is stored. A run
+    that failed is made good by the next one, which finds stored what was stored.
     """
-    def land(batch: DataFrame, _: int) -> None:
-        stored = read_messages(batch.sparkSession, table, schema=batch.schema).select("messageid")
-        (batch.dropDuplicates(["messageid"]).join(stored, "messageid", "left_anti")
-         .select(*batch.columns).write.mode("append").parquet(table))
+    _stage(stream, work)
+    _store(stream.sparkSession, table, work, stream.schema, width)
+
+
+def read_line_stream(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
+    """Text lines as they land. Files of this kind are cut by the service, so they count by number."""
+    return spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+
 
-    _run_batches(stream, checkpoint, land)
+def ingest_json(lines: DataFrame, table: str, unread: str, work: str, width: int = ID_WIDTH) -> None:
+    """``ingest`` from JSON Lines as the chat service hands them over. Lines that are no message are
+    written to ``unread``, a folder a micro-batch, so that a repeated batch leaves them there once."""
+    def split(batch: DataFrame, number: int) -> DataFrame:
+        parsed = parse_raw(batch)
+        lost = parsed.filter(F.col("_unread").isNotNull()).select(F.col("_unread").alias("line"))
+        lost.write.mode("overwrite").parquet(f"{unread}/{number}")
+        return flatten_raw(parsed.filter(F.col("_unread").isNull()))
+
+    _stage(lines, work, split)
+    _store(lines.sparkSession, table, work, MESSAGE, width)
 
 
 def trigger_stream(stream: DataFrame, cfg: ChatConfig) -> DataFrame:
@@ -70,21 +115,17 @@ def _run_step(stream: DataFrame, out: str, work: str, step: Step) -> None:
     """Stage what has landed, then let ``step`` turn the run's rows and the carried table into
     results and the next carried table. A run that failed is made good by the next one."""
     spark, schema = stream.sparkSession, stream.schema
-
-    def stage(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{work}/staged/{number}")
-
-    _run_batches(stream, f"{work}/checkpoint", stage)
-    staged = children(spark, f"{work}/staged")
+    _stage(stream, work)
     done = max(children(spark, f"{work}/carried"), default=-1)
-    new = [n for n in staged if n > done]
+    drop_staged(spark, work, [n for n in children(spark, f"{work}/staged") if n <= done])
+    new, rows = staged(spark, work, schema)
     if not new:
         return
-    rows = spark.read.schema(schema).parquet(*[f"{work}/staged/{n}" for n in new])
     carried = spark.read.parquet(f"{work}/carried/{done}") if done >= 0 else None
     found, left = step(rows, carried)
     found.write.mode("overwrite").parquet(f"{out}/{max(new)}")
     left.write.mode("overwrite").parquet(f"{work}/carried/{max(new)}")
+    drop_staged(spark, work, new)
 
 
 def read_results(spark: SparkSession, out: str, schema) -> DataFrame:
