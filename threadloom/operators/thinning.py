@@ -33,31 +33,38 @@ def greedy_thin(points: DataFrame, keys: list[str], gap: int, *, time: str = "t"
     return materialize(kept.select(F.col("_id").alias(unique)), "kept")
 
 
-def _fold(points: DataFrame, keys: list[str], gap: int, block: int = 256) -> DataFrame:
-    """One pass over each group's sorted points; the kept list has at most (time span / gap) ids.
+def _fold(points: DataFrame, keys: list[str], gap: int, block: int = 256, inner: int = 16) -> DataFrame:
+    """One walk over each group's sorted points, in blocks of blocks.
 
-    Spark copies the state of ``aggregate`` at every element, so the kept list grows per block of
-    points and joins the whole list once per block.
+    Spark copies the state of ``aggregate`` at every element, so no list may grow with the group. The
+    walk carries the last kept time alone, and notes it once a block. From this a block is walked
+    again by itself, in the same way over its inner blocks, and an inner block lists its kept points.
     """
-    none_kept = F.array().cast("array<bigint>")
-
-    def step(state, point):
-        keep = state["last"].isNull() | (point["_t"] - state["last"] > gap)
-        return F.when(keep, F.struct(
-            point["_t"].alias("last"), F.array_append(state["kept"], point["_id"]).alias("kept"),
-        )).otherwise(state)
-
-    def block_step(state, points_of_block):
-        start = F.struct(state["last"].alias("last"), none_kept.alias("kept"))
-        return F.aggregate(points_of_block, start, step, lambda end: F.struct(
-            end["last"].alias("last"), F.concat(state["kept"], end["kept"]).alias("kept")))
-
-    start = F.struct(F.lit(None).cast("long").alias("last"), none_kept.alias("kept"))
-    starts = F.sequence(F.lit(1), F.size("_points"), F.lit(block))
-    blocks = F.transform(starts, lambda at: F.slice("_points", at, block))
-    kept = F.aggregate("_blocks", start, block_step, lambda end: end["kept"])
-    return (points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_t", "_id"))).alias("_points"))
-            .select(*keys, blocks.alias("_blocks")).select(*keys, F.explode(kept).alias("_id")))
+    def beyond(last, point):
+        return last.isNull() | (point["_t"] - last > gap)
+
+    def after(part, start):
+        return F.aggregate(part, start, lambda last, point: F.when(beyond(last, point), point["_t"]).otherwise(last))
+
+    def in_blocks(part, size):
+        return F.transform(F.sequence(F.lit(1), F.size(part), F.lit(size)), lambda at: F.slice(part, at, size))
+
+    def starts(parts, start):
+        """The last kept time before each of the parts."""
+        begin = F.struct(start.alias("last"), F.array().cast("array<bigint>").alias("starts"))
+        return F.aggregate(parts, begin, lambda state, part: F.struct(
+            after(part, state["last"]).alias("last"), F.array_append(state["starts"], state["last"]).alias("starts")), lambda end: end["starts"])
+
+    def kept(part, start):
+        begin = F.struct(start.alias("last"), F.array().cast("array<bigint>").alias("kept"))
+        return F.aggregate(part, begin, lambda state, point: F.when(beyond(state["last"], point), F.struct(
+            point["_t"].alias("last"), F.array_append(state["kept"], point["_id"]).alias("kept"))).otherwise(state), lambda end: end["kept"])
+
+    rows = (points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_t", "_id"))).alias("_points"))
+            .select(*keys, in_blocks(F.col("_points"), block).alias("_blocks")))
+    rows = rows.select(*keys, F.explode(F.arrays_zip("_blocks", starts(F.col("_blocks"), F.lit(None).cast("long")).alias("_starts"))).alias("_b"))
+    rows = rows.select(*keys, in_blocks(F.col("_b._blocks"), inner).alias("_parts"), F.col("_b._starts").alias("_start"))
+    return rows.select(*keys, F.explode(F.flatten(F.zip_with("_parts", starts(F.col("_parts"), F.col("_start")), kept))).alias("_id"))
 
 
 def _leap(points: DataFrame, keys: list[str], gap: int, max_group_rows: int) -> DataFrame:

@@ -279,6 +279,8 @@ ORACLES: dict[str, str] = {
     "scan_messages": from_messages("*"),
     "incremental_ingest": f"WITH {INGEST} SELECT * FROM fetched",
     "append_roundtrip": from_messages("*"),
+    "rewrite_roundtrip": f"""WITH RECURSIVE {MESSAGES}, {with_assigned()}, {cleaned(True, 'joined')}
+        SELECT messageid, channelid, channelname, userid, username, sent, content, replyid, conversid, isFirstInConvers FROM clean""",
     "names_dim": """SELECT event_id, id, json_extract_string(props, '$.' || id) AS name
         FROM (SELECT event_id, props, unnest(json_keys(props)) AS id FROM events)""",
     "examples_roundtrip": f"WITH RECURSIVE {EXAMPLES} SELECT * FROM examples",
@@ -422,6 +424,16 @@ ORACLES: dict[str, str] = {
     "stream_gate": GATE,
     "live_context": CONTEXT_ROWS,
     "live_gate": GATE,
+    "sql_surface": f"""WITH RECURSIVE {EXAMPLES}, {CONTEXT.removeprefix(MESSAGES + ",").replace("clean", "alive").replace("stripped", "bare")}
+        SELECT m.messageid, k.content AS text, a.content AS live,
+               CASE WHEN k.content <> '' THEN concat(CASE WHEN m.userid = {CFG.bot_id} THEN {quoted(CFG.bot_label)}
+                 ELSE {name_of('CAST(m.userid AS VARCHAR)')} END, ': ', k.content) END AS line,
+               l.line AS live_line,
+               CASE WHEN e.messageid IS NOT NULL THEN {prompt('e.output').replace('instruction', 'e.instruction').replace(', input', ', e.input')} END AS example,
+               CASE WHEN x.messageid IS NOT NULL THEN {prompt(None).replace('instruction', quoted(CFG.instruction_text)).replace(', input', ', x.context')} END AS asked,
+               x.context
+        FROM messages m JOIN clean k USING (messageid) JOIN alive a USING (messageid) JOIN lines l USING (messageid)
+        LEFT JOIN examples e ON e.messageid = m.messageid LEFT JOIN (SELECT * FROM contexts WHERE trigger) x ON x.messageid = m.messageid""",
     "stream_ingest_json": f"""WITH {MESSAGES}
         SELECT messageid, channelid, userid, sent, content, replyid, NULL AS line FROM messages
         WHERE messageid % 97 <> 0 AND messageid % 89 <> 0

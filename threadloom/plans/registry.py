@@ -15,11 +15,12 @@ from threadloom.functions import text as X
 from threadloom.functions.prompts import first_candidate
 from threadloom.functions.times import format_sent, parse_sent
 from threadloom.operators import aggregates, checks, conversations, examples, gate, replies, scrub, splits
-from threadloom.plans import prepare
+from threadloom.plans import prepare, surface
 from threadloom.plans.fixture import CFG, ROLE_CFG, SPLIT, as_messages, messages, role_messages, table
 from threadloom.schema import MESSAGE, create_message_table
 from threadloom.sources.examples import read_examples, write_examples
 from threadloom.sources.messages import append_messages, channels_of, flatten_raw, incremental_ingest, read_messages
+from threadloom.sources import snapshots
 from threadloom.sources.names import explode_names
 from threadloom.storage import materialize, new_path
 from threadloom.streaming import live, runs, streams
@@ -83,6 +84,17 @@ def append_roundtrip(spark, sf_dir):
     return spark.read.schema(prior.schema).parquet(path).select(*prior.columns)
 
 
+@query
+def rewrite_roundtrip(spark, sf_dir):
+    # Stored once, then text and conversations rewritten in place.
+    path = new_path(spark, "snapshots")
+    m = messages(spark, sf_dir)
+    snapshots.create_snapshots(m, path)
+    snapshots.rewrite_content(spark, path, m.schema, CFG)
+    snapshots.rewrite_conversations(spark, path, m.schema, CFG)
+    return snapshots.read_snapshot(spark, path, m.schema)
+
+
 @query
 def message_table(spark, sf_dir):
     # A catalog table of the message schema, filled and read by name.
@@ -415,6 +427,21 @@ def training_examples(spark, sf_dir):
     return prepare.prepare_examples(messages(spark, sf_dir), CFG)
 
 
+@query
+def sql_surface(spark, sf_dir):
+    # Cleaned text and lines of all messages, prompts of all examples and contexts, asked for in SQL.
+    m = messages(spark, sf_dir)
+    surface.register_text(spark, CFG)
+    surface.register_tables(spark, prepare.prepared_messages(m, CFG), m, CFG)
+    m.createOrReplaceTempView("chat_messages")
+    return spark.sql(f"""
+        WITH cleaned AS (SELECT messageid, userid, chat_clean(content, userid) AS text, chat_clean_live(content, userid) AS live FROM chat_messages)
+        SELECT c.messageid, text, live, chat_line(userid, text) AS line, chat_line_live(userid, live) AS live_line,
+               chat_training_prompt(e.instruction, e.input, e.output) AS example, chat_prompt({surface.quoted(CFG.instruction_text)}, x.context) AS asked, x.context
+        FROM cleaned c LEFT JOIN chat_examples(NULL, NULL) e ON e.messageid = c.messageid
+        LEFT JOIN chat_contexts(NULL) x ON x.messageid = c.messageid""")
+
+
 @query
 def role_examples(spark, sf_dir):
     return examples.training_examples(role_messages(spark, sf_dir), ROLE_CFG)
