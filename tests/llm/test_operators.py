@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from threadloom.llm import pii, queries, toxicity
+from threadloom.llm.anchors import anchors
 from threadloom.llm.bwt import repeated
 from threadloom.llm.graph import components
 from threadloom.llm.licenses import PHRASES, Template, scan_licenses
@@ -312,3 +313,44 @@ def test_classes_without_ids_or_labels(spark):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (5, "a b c d e")]
     assert {r.component_id for r in near_duplicates(docs(spark, rows)).collect()} == {5}
     assert score_quality(docs(spark, rows), spark.createDataFrame([], "doc_id long, quality int")).count() == 3
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_strings_that_only_a_rolling_hash_takes_for_equal(spark):
+    # Polynomial hashes modulo 2**64 do not tell these two from each other; no 400 bytes are common.
+    t = thue_morse(256)
+    u = t.translate(str.maketrans("ab", "ba"))
+    for seed in range(2_000):
+        middle = "".join(random.Random(seed).choices("abcdefghijklmnop", k=144))
+        pair = [t + middle + u, u + middle + t]
+        places = [anchors([x.encode()], 400, 100)[1] for x in pair]
+        if all(((p >= 256) & (p + 100 <= 400)).all() for p in places):
+            break
+    rows = [(i, x) for i, x in enumerate(pair)]
+    rows += [(10 + i, "x" * 10 + x) for i, x in enumerate([t + middle + u + "q", u + middle + t + "r"])]  # these two repeat the others
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.spans == [] for r in remove_repeats(df.filter("doc_id < 10")).collect())
+    for options in ({}, {"core_rows": 0}, {"inner_core": 150}):
+        found = {r.doc_id: [tuple(s) for s in r.spans] for r in remove_repeats(df, **options).collect()}
+        assert found == {0: [(0, 656)], 1: [(0, 656)], 10: [(10, 666)], 11: [(10, 666)]}
+
+
+def test_anchors_of_very_long_texts(monkeypatch):
+    from threadloom.llm import anchors as module
+    text = long_text(3_000).encode()
+    whole = module.anchors([text], 400, 100)
+    monkeypatch.setattr(module, "_PLACE", 12)
+    monkeypatch.setattr(module, "_in_parts", lambda texts, window, core: parts(texts, window, core))
+
+    def parts(texts, window, core):
+        found = []
+        for at in range(0, len(text) - window + 1, 2_000):
+            found.append([x + at for x in module.anchors([text[at:at + 2_000 + window - 1]], window, core)[1:4]])
+        return found
+
+    starts = lambda lo, hi: sorted(i for a, b in zip(lo, hi) for i in range(a, b + 1))
+    cut = module.anchors([text], 400, 100)
+    assert starts(whole[2], whole[3]) == sorted(i for _, lo, hi in cut for i in starts(lo, hi))

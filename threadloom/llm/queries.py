@@ -30,7 +30,8 @@ def op2_pii(spark, sf_dir):
     """Which personal data does each text hold, by fixed kinds and by learnt contexts?"""
     found = find_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS],
-                        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+                        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+                        (F.size("spans") > 0).alias("has_personal_data"))
 
 
 def op3_exact_top_k(spark, sf_dir):
@@ -90,7 +91,8 @@ def op10_repeated_strings(spark, sf_dir):
     found = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", F.length("data").cast("long").alias("n_bytes"), removed.alias("n_removed"),
-                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                        (F.size("spans") > 0).alias("has_repeats"))
 
 
 def op11_whitening(spark, sf_dir):

@@ -5,13 +5,13 @@ another. The Burrows-Wheeler merge of ``bwt`` decides that, after two exact redu
 only what it is needed for (``anchors``):
 
 1. Anchors stand for all windows. A core that occurs once has no repeated window. Where all runs
-   around a core are equal, all their windows are repeated.
+   around a core are equal (by digests of their bytes), all their windows are repeated.
 2. Cores with different runs around them stay: for these one piece of text per different run goes
    to the task of its core. There a longer core decides most of the rest in the same way, and
    shards of the remaining pieces, in which the core is a single letter, are merged.
 
 Copies pre-aggregate as equal runs. A core with more than ``core_rows`` different runs around it is
-not given to one task: its windows are counted by two hashes instead.
+not given to one task: its windows are counted by digests of their bytes instead.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.anchors import Hashes, anchors
+from threadloom.llm.anchors import DIGEST, anchors, digests, pairs
 from threadloom.llm.bwt import repeated
-from threadloom.llm.common import ship
+from threadloom.llm.common import ship, text_key
 from threadloom.storage import materialize
 
 BATCH_BYTES = 1 << 20
-ROWS = "key long, size int, place int, lo int, hi int, core long, kind long"
+ROWS = "key binary, size int, place int, lo int, hi int, core long, kind binary"
 
 
 def _runs(texts: list[bytes]):
@@ -43,12 +43,16 @@ def _runs(texts: list[bytes]):
         yield run
 
 
+def _binary(found: bytes) -> pa.Array:
+    """Digests that stand one after another."""
+    return pa.Array.from_buffers(pa.binary(DIGEST), len(found) // DIGEST, [None, pa.py_buffer(found)]).cast(pa.binary())
+
+
 def anchor_rows(texts: DataFrame, window: int, core: int) -> DataFrame:
     """``ROWS`` of every anchor of (key, size, data)."""
     def run(batches):
         for batch in batches:
-            key, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data = batch.column(2)
+            key, size, data = batch.columns
             n = [len(x) for x in map(memoryview, map(pa.BinaryScalar.as_buffer, data))]
             start = 0
             while start < len(n):
@@ -61,7 +65,8 @@ def anchor_rows(texts: DataFrame, window: int, core: int) -> DataFrame:
                 start = stop
                 if len(text):
                     ints = [pa.array(x.astype(np.int32)) for x in (place, lo, hi)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[text]), pa.array(size[text]), *ints, pa.array(c), pa.array(k)],
+                    of = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([key.take(of), size.take(of), *ints, pa.array(c), _binary(k)],
                                                      ["key", "size", "place", "lo", "hi", "core", "kind"])
 
     return texts.mapInArrow(run, ROWS)
@@ -73,12 +78,15 @@ def resolve(pieces: list[bytes], group: np.ndarray, times: np.ndarray, window: i
     found = [np.zeros((0, 3), np.int64)]
     text, place, lo, hi, c, k = ([] for _ in range(6))
     for run in _runs(pieces):
-        part = anchors([pieces[i] for i in run], window, core)
-        for to, x in zip((text, place, lo, hi, c, k), (np.array(run)[part[0]], *part[1:])):
+        some = [pieces[i] for i in run]
+        own, at, a, b, _, kind = anchors(some, window, core)
+        begin = np.cumsum([0] + [len(t) for t in some])[own]
+        same = digests(b"".join(some), begin + at, begin + at + core, np.zeros(len(at), np.int64))
+        for to, x in zip((text, place, lo, hi, c, k), (np.array(run)[own], at, a, b, pairs(same), pairs(kind))):
             to.append(x)
     text, place, lo, hi, c, k = map(np.concatenate, (text, place, lo, hi, c, k))
-    _, spot = np.unique(np.stack([group[text], c], 1), axis=0, return_inverse=True)
-    classes, first, of = np.unique(np.stack([spot, k], 1), axis=0, return_index=True, return_inverse=True)
+    _, spot = np.unique(np.column_stack([group[text], c]), axis=0, return_inverse=True)
+    classes, first, of = np.unique(np.column_stack([spot, k]), axis=0, return_index=True, return_inverse=True)
     heavy = np.bincount(of, times[text])
     spot_of = classes[:, 0]
     total, kinds = np.bincount(spot_of, heavy), np.bincount(spot_of)
@@ -87,10 +95,10 @@ def resolve(pieces: list[bytes], group: np.ndarray, times: np.ndarray, window: i
     # One row a class of the cores that still have several; the core is one letter of its own.
     rows = first[(total[spot_of] > 1) & (kinds[spot_of] > 1)]
     spots, rank = np.unique(spot[rows], return_inverse=True)
-    letters = []
-    for r, g in zip(rows, rank):
+    letters = []  # texts of different cores are never compared, so one letter serves them all
+    for r in rows:
         data = np.frombuffer(pieces[text[r]], np.uint8)
-        letters.append(np.concatenate([data[lo[r]:place[r]], [256 + g % 65_000], data[place[r] + core:hi[r] + window]]).astype(np.uint16))
+        letters.append(np.concatenate([data[lo[r]:place[r]], [256], data[place[r] + core:hi[r] + window]]).astype(np.uint16))
     hit, start = repeated(letters, rank, window - core + 1)
     hit = rows[hit] if len(hit) else hit.astype(np.int64)
     single = (heavy[of[hit]] == 1) & (times[text[hit]] == 1)
@@ -109,7 +117,7 @@ def _merged(lo, hi, window: int) -> list[tuple[int, int]]:
 
 def repeated_ranges(texts: DataFrame, window: int, core: int, inner_core: int, core_rows: int) -> DataFrame:
     """(key, size, spans) of each text (key, size, data) with repeated strings: sorted, disjoint
-    byte ranges. Equal (key, size) stand for equal texts."""
+    byte ranges. Equal (key, size) stand for equal texts; keys are digests of the bytes."""
     ship(texts.sparkSession)
     rows = materialize(anchor_rows(texts, window, core), "anchors")
     # Written, so that the join shuffles both sides for itself and Spark may split a hot core.
@@ -123,12 +131,15 @@ def repeated_ranges(texts: DataFrame, window: int, core: int, inner_core: int, c
     sure = rows.filter("not mixed").unionByName(rows.filter("mixed").join(often, ["core", "kind"], "left_semi").select(rows.columns))
     sure = sure.select("key", "size", "lo", "hi").distinct()
 
+    # Written, like the cores above: a text asked for by many cores, or one that stands very often.
     large = kinds.groupBy("core").count().filter(F.col("count") > core_rows).select("core", F.lit(True).alias("large"))
     wanted = (kinds.join(large, "core", "left").groupBy("at.key", "at.size")
               .agg(F.collect_list(F.struct("core", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "times",
                                            F.coalesce("large", F.lit(False)).alias("large"))).alias("pieces")))
-    # Copies of a text asked for come with it; one is kept.
-    pieces = (texts.join(wanted, ["key", "size"]).dropDuplicates(["key", "size"])
+    wanted = materialize(wanted, "wanted")
+    # Copies of a text asked for come with it; one is kept, before they meet where Spark combines.
+    asked = texts.join(wanted.select("key", "size"), ["key", "size"], "left_semi").groupBy("key", "size").agg(F.first("data").alias("data"))
+    pieces = (materialize(asked, "asked-texts").join(wanted, ["key", "size"])
               .select("key", "size", "data", F.explode("pieces").alias("p"))
               .select("p.core", "p.times", "p.large", "key", "size", "p.lo",
                       F.expr(f"substring(data, p.lo + 1, p.hi - p.lo + {window})").alias("piece")))
@@ -151,29 +162,28 @@ def repeated_ranges(texts: DataFrame, window: int, core: int, inner_core: int, c
         _, group = np.unique(t.column("core").to_numpy(), return_inverse=True)
         found = resolve(t.column("piece").to_pylist(), group, t.column("times").to_numpy(), window, inner_core)
         if len(found):
-            key, size, at = (t.column(n).to_numpy()[found[:, 0]] for n in ("key", "size", "lo"))
+            of = pa.array(found[:, 0])
+            key, size = (t.column(n).take(of).combine_chunks() for n in ("key", "size"))
+            at = t.column("lo").to_numpy()[found[:, 0]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(size), pa.array((at + found[:, 1]).astype(np.int32)), pa.array((at + found[:, 2]).astype(np.int32))],
-                ["key", "size", "lo", "hi"])
+                [key, size, pa.array((at + found[:, 1]).astype(np.int32)), pa.array((at + found[:, 2]).astype(np.int32))], ["key", "size", "lo", "hi"])
 
-    span = "key long, size int, lo int, hi int"
+    span = "key binary, size int, lo int, hi int"
     merged = (pieces.filter("not large").select("core", "times", "key", "size", "lo", "piece").repartition("core")
               .sortWithinPartitions("core").mapInArrow(run, span))
 
     def windows(batches):
         for batch in batches:
             for key, size, lo, piece in zip(*(batch.column(n).to_pylist() for n in ("key", "size", "lo", "piece"))):
-                data = np.frombuffer(piece, np.uint8)
-                at = np.arange(len(data) - window + 1)
-                one, two = (Hashes(data, i).of(at, at + window).view(np.int64) for i in (0, 1))
+                at = np.arange(len(piece) - window + 1)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, key)), pa.array(np.full(n, size, np.int32)), pa.array((lo + at).astype(np.int32)), pa.array(one), pa.array(two)],
-                    ["key", "size", "lo", "one", "two"])
+                    [pa.array([key] * n, pa.binary()), pa.array(np.full(n, size, np.int32)), pa.array((lo + at).astype(np.int32)),
+                     _binary(digests(piece, at, at + window, np.zeros(n, np.int64)))], ["key", "size", "lo", "same"])
 
-    hashed = pieces.filter("large").select("key", "size", "lo", "piece").mapInArrow(windows, "key long, size int, lo int, one long, two long")
-    twice = hashed.groupBy("one", "two").count().filter("count > 1")
-    counted = hashed.join(twice, ["one", "two"]).select("key", "size", "lo", F.col("lo").alias("hi"))
+    hashed = pieces.filter("large").select("key", "size", "lo", "piece").mapInArrow(windows, "key binary, size int, lo int, same binary")
+    twice = hashed.groupBy("same").count().filter("count > 1")
+    counted = hashed.join(twice, "same").select("key", "size", "lo", F.col("lo").alias("hi"))
 
     runs = (sure.unionByName(merged).unionByName(counted).groupBy("key", "size")
             .agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
@@ -204,7 +214,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, core: int = 100, inner_co
     """
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias(id_col), data.alias("data"))
-    rows = rows.select(id_col, F.xxhash64("data").alias("key"), F.length("data").alias("size"), "data")
+    rows = rows.select(id_col, text_key(F.col("data")).alias("key"), F.length("data").alias("size"), "data")
     found = repeated_ranges(rows.filter(F.col("size") >= window).select("key", "size", "data"), window, core, inner_core, core_rows)
     spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
     rows = rows.join(materialize(found, "repeats"), ["key", "size"], "left").select(id_col, "data", spans.alias("spans"))
