@@ -354,3 +354,32 @@ def test_anchors_of_very_long_texts(monkeypatch):
     starts = lambda lo, hi: sorted(i for a, b in zip(lo, hi) for i in range(a, b + 1))
     cut = module.anchors([text], 400, 100)
     assert starts(whole[2], whole[3]) == sorted(i for _, lo, hi in cut for i in starts(lo, hi))
+
+
+def test_texts_are_split_into_words_once(spark):
+    from threadloom.llm import decontam
+    known = spark.createDataFrame([(b"x", ["a", "b", "c", "d", "e"]), (b"y", ["a"])], "sid binary, part array<string>")
+    found = decontam._known_places(spark.read.parquet(f"{SF}/documents.parquet"), known, [1, 5], ["doc_id"], "text", 10)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_windows_of_all_widths_in_slices(spark):
+    from threadloom.llm.decontam import contamination
+    rng = random.Random(4)
+    vocabulary = "abcd"
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 7)))) for i in range(25)]
+    got = contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"),
+                        window=4, shingle=2, slice_rows=5)
+    for r in got.collect():
+        w = words(rows[r.doc_id][1])
+        hit, held = set(), set()
+        for i, t in items:
+            own = words(t)
+            n = min(4, len(own))
+            for a in range(len(own) - n + 1 if n else 0):
+                for at in range(len(w) - n + 1):
+                    if w[at:at + n] == own[a:a + n]:
+                        hit |= set(range(at, at + n))
+                        held.add(i)
+        assert (r.n_words, r.n_hit, set(r["items"] or [])) == (len(w), len(hit), held)
