@@ -383,3 +383,40 @@ def test_windows_of_all_widths_in_slices(spark):
                         hit |= set(range(at, at + n))
                         held.add(i)
         assert (r.n_words, r.n_hit, set(r["items"] or [])) == (len(w), len(hit), held)
+
+
+def _archive(spark, folder):
+    from threadloom.llm import warc
+    rows = spark.createDataFrame([(i, f"http://a/{i}", long_text(300, i), None) for i in range(5)], "page long, url string, html string, refers_to long")
+    manifest = warc.write_archives(rows.coalesce(1), folder).collect()[0]
+    return manifest, spark.createDataFrame([manifest])
+
+
+@pytest.mark.parametrize("split", [200, 1 << 20])
+@pytest.mark.parametrize("damage", ["byte near the end of a record", "header", "cut record", "cut at a border", "bytes between", "missing"])
+def test_damaged_archives_are_an_error(spark, tmp_path, damage, split):
+    from threadloom.llm import warc
+    manifest, table = _archive(spark, str(tmp_path / "warc"))
+    path = manifest.path.removeprefix("file:")
+    assert manifest.path.startswith("file:") and warc.read_archives(table, split).count() == manifest.records == 5
+    with open(path, "rb") as f:
+        data = bytearray(f.read())
+    borders = sorted(r.offset for r in warc.read_archives(table, split).select("offset").collect())
+    if damage == "byte near the end of a record":
+        data[borders[3] - 6] ^= 1
+    elif damage == "header":
+        data[borders[2] + 12] ^= 255
+    elif damage == "cut record":
+        data = data[:-20]
+    elif damage == "cut at a border":
+        data = data[:borders[4]]
+    elif damage == "bytes between":
+        data[borders[2]:borders[2]] = b"0123456789"
+    (tmp_path / "warc" / "hidden").write_bytes(data)
+    if damage == "missing":
+        (tmp_path / "other").mkdir()
+        table = spark.createDataFrame([(str(tmp_path / "other" / "none.warc.gz"), manifest.bytes, 5)], warc.MANIFEST)
+    else:
+        table = spark.createDataFrame([(str(tmp_path / "warc" / "hidden"), len(data) if damage == "bytes between" else manifest.bytes, 5)], warc.MANIFEST)
+    with pytest.raises(Exception, match="Damaged|FileNotFound|No such file|does not hold"):
+        warc.read_archives(table, split).count()

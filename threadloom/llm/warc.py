@@ -3,6 +3,10 @@
 A reading task scans its range for the gzip magic number, decodes the start of each candidate and
 takes it for a member only if a WARC header comes out; it owns the records that start inside its
 range and reads the last of them beyond the end. So archives of any size split anywhere.
+
+Nothing is lost silently. A member whose header came out must decode to its end. Members follow each
+other without a gap: a file's first one starts at 0, each next one where the one before ends, and at
+the end of a range the one after must have a header, or the file must end as its manifest says.
 """
 
 from __future__ import annotations
@@ -71,6 +75,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     or repeated attempt leaves behind is never read.
     """
     ship(rows.sparkSession)
+    folder = qualified(rows.sparkSession, folder)
 
     def run(batches):
         store, base = _store(folder)
@@ -91,6 +96,12 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     return materialize(rows.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, which for tasks is the one that Spark's tables have."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
+
+
 def _store(path: str):
     """File system and plain path of a URI or local path."""
     if path.startswith("file:"):
@@ -125,59 +136,76 @@ def _header(data: bytes) -> dict[str, str] | None:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """(bytes of the member, where it ends), or None if no record starts here."""
+class Damaged(ValueError):
+    """Bytes of an archive that are no record."""
+
+
+def _member(window: _Window, at: int, head_only: bool = False) -> tuple[bytes, int] | None:
+    """(bytes of the member, where it ends), or None if no record starts here; with ``head_only`` as
+    far as its header goes. A record that starts here but does not decode is an error."""
     unpack, out, pos = zlib.decompressobj(31), bytearray(), at
-    checked = False
+    head = None
     while not unpack.eof:
         data = window.get(pos, pos + CHUNK)
-        if not data:
-            return None
         try:
+            if not data:
+                raise zlib.error("it is cut off")
             out += unpack.decompress(data)
-        except zlib.error:
-            return None
+        except zlib.error as problem:
+            if head is None:
+                return None
+            raise Damaged(f"the record at {at} cannot be read: {problem}") from problem
         pos += len(data) - len(unpack.unused_data)
-        if not checked and not out.startswith(b"WARC/1.") and len(out) >= 7:
-            return None
-        checked = len(out) >= 7
-    return (bytes(out), pos) if _header(out) else None
-
-
-def records_of(file, start: int, end: int):
-    """(offset, header, block) of the records that start in [start, end)."""
+        if head is None:
+            if len(out) >= 7 and not out.startswith(b"WARC/1."):
+                return None
+            head = _header(bytes(out))
+        if head is not None and head_only:
+            return bytes(out), pos
+    return (bytes(out), pos) if head is not None else None
+
+
+def records_of(file, start: int, end: int, size: int):
+    """(offset, header, block) of the records of a file of ``size`` bytes that start in [start, end)."""
+    if file.size() != size:
+        raise Damaged(f"{file.size()} bytes instead of {size}")
     window = _Window(file, start)
     window.upto(end + len(MAGIC) - 1)
-    at = start
+    at, due = start, 0 if start == 0 else None  # where the next record must start, if that is known
     while (place := window.data.find(MAGIC, at - start)) >= 0 and (at := start + place) < end:
         found = _member(window, at)
+        if due is not None and (at != due or not found):
+            break
         if not found:
             at += 1
             continue
-        data, after = found
+        data, due = found
         head = _header(data)
         block = data[data.index(b"\r\n\r\n") + 4:][:int(head["content-length"])]
         yield at, head, block
-        at = after
+        at = due
+    if due is not None and due < size and (due < end or _member(window, due, head_only=True) is None):
+        raise Damaged(f"no record at {due}")
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``RECORD`` of every record in (path, bytes). Revisits have no payload, but the digest and size
-    of the one they stand for. A payload that does not have its digest fails the job."""
+    of the one they stand for. A payload that does not have its digest fails the job, as do a damaged,
+    cut or missing file and bytes between records."""
     spark: SparkSession = manifest.sparkSession
     ship(spark)
     ranges = manifest.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + split_bytes).alias("end"))
+    ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + split_bytes).alias("end"), "bytes")
     n = max(1, ranges.count())
 
     def run(batches):
         for batch in batches:
-            for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, start, end, size in zip(*(c.to_pylist() for c in batch.columns)):
                 store, plain = _store(path)
                 with store.open_input_file(plain) as file:
                     rows = []
-                    for offset, head, block in records_of(file, start, end):
+                    for offset, head, block in records_of(file, start, end, size):
                         rows.append(_row(path, offset, head, block))
                         if len(rows) >= 200:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -187,7 +215,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
 
     schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("page", pa.string()), ("url", pa.string()),
                         ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
-    return ranges.repartition(n, "path", "start").select("path", "start", "end").mapInArrow(run, RECORD)
+    return ranges.repartition(n, "path", "start").select("path", "start", "end", "bytes").mapInArrow(run, RECORD)
 
 
 def _row(path: str, offset: int, head: dict[str, str], block: bytes) -> dict:
