@@ -17,10 +17,8 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import LOWER, UPPER, WORD, words
@@ -86,62 +84,55 @@ def template_hits(docs: DataFrame, templates, id_col: str = "doc_id", text_col:
                                    hits.alias("hits")), "license-words")
 
 
-def _block(hits: Column, block: Column, stride: int) -> Column:
-    return F.filter(hits, lambda h: (h["p"] >= block * stride) & (h["p"] < (block + 2) * stride))
+INDEX = "tid int, w string, off int, rank int, prefix boolean"
 
 
-def _places(block_hits: Column, block: Column, stride: int, phrase: list[str]) -> Column:
-    """Starts of the phrase that the block owns."""
-    def here(h):
-        def at(k):
-            return F.exists(block_hits, lambda o: (o["p"] == h["p"] + k) & (o["w"] == phrase[k]))
-
-        found = (h["w"] == phrase[0]) & (h["p"] < (block + 1) * stride)
-        return reduce(and_, map(at, range(1, len(phrase))), found)
-
-    return F.transform(F.filter(block_hits, here), lambda h: h["p"])
+def _index(templates, counts: dict[str, int]) -> list[tuple]:
+    """(template, word, offset, rank, prefix) of each word of the templates that can be met; rank 0 is
+    the rarest word. Offsets matter for phrases alone."""
+    found = []
+    for tid, t in enumerate(templates):
+        ordered = sorted(set(t.words), key=lambda w: (counts.get(w, 0), w))
+        n, need = len(ordered), t.need
+        if sum(1 for w in ordered if counts.get(w)) < need:
+            continue  # no block can hold enough of it
+        rank = {w: i for i, w in enumerate(ordered)}
+        placed = list(enumerate(t.words)) if t.phrase else [(0, w) for w in ordered]
+        found += [(tid, w, off, rank[w], rank[w] <= n - need) for off, w in placed]
+    return found
 
 
 def template_matches(rows: DataFrame, templates) -> DataFrame:
-    """(row, label, phrase, places, overlap): a row for each block that meets a template's share.
+    """(row, label, phrase, start, overlap): a row for each place of a phrase and each block
+    that meets a template's share.
 
-    The corpus counts of the templates' own words (as many as the fixed list has) come to the
-    driver, and the prefix index goes out as literals of each template's expressions."""
+    The corpus counts of the templates' own words (as many as the fixed list has) come to the driver.
+    The words of rows with a prefix word are exploded once and joined with the templates' index, so
+    the work grows with a text's length and the templates that share its words, however many there are."""
+    spark = rows.sparkSession
     counted = rows.select(F.explode("hits").alias("h")).groupBy("h.w").count().collect()
-    counts = {r["w"]: r["count"] for r in counted}
-    found = []
-    for t in templates:
-        ordered = sorted(set(t.words), key=lambda w: (counts.get(w, 0), w))
-        n, need = len(ordered), t.need
-        prefix = [w for w in ordered[:n - need + 1] if counts.get(w)]
-        if not prefix or sum(1 for w in ordered if counts.get(w)) < need:
-            continue  # no block can hold enough of it
-        stride = len(t.words)
-        # Candidates: blocks with a prefix word, by the place of the first such word in them.
-        hot = F.filter("hits", lambda h: h["w"].isin(prefix))
-        blocks = F.array_distinct(F.flatten(F.transform(hot, lambda h: F.filter(F.array(
-            F.floor(h["p"] / stride).cast("int"), F.floor(h["p"] / stride).cast("int") - 1), lambda b: b >= 0))))
-        cand = (rows.filter(F.exists("hits", lambda h: h["w"].isin(prefix)))
-                .select("row", "hits", F.explode(blocks).alias("block"))
-                .select("row", "block", _block(F.col("hits"), F.col("block"), stride).alias("bh")))
-        own = F.array_intersect(F.array(*map(F.lit, ordered)), F.transform("bh", lambda h: h["w"]))
-        # Both sides in rarity order: after the first shared word no more than these can be shared.
-        first = F.array_position(F.array(*map(F.lit, ordered)), F.col("own")[0])
-        cand = (cand.filter(F.size("bh") >= need).withColumn("own", own)
-                .filter((F.size("own") > 0) & (F.lit(n + 1) - first >= need))
-                .filter(F.size("own") >= need))
-        places = _places(F.col("bh"), F.col("block"), stride, t.words) if t.phrase else F.expr("cast(array() as array<int>)")
-        cand = cand.select("row", F.lit(t.label).alias("label"), F.lit(t.phrase).alias("phrase"), places.alias("places"),
-                           (F.size("own") / n).alias("overlap"))
-        found.append(cand.filter(F.size("places") > 0) if t.phrase else cand)
-    if not found:
-        none = rows.select("row", F.lit("").alias("label"), F.lit(True).alias("phrase"), F.expr("cast(array() as array<int>)").alias("places"),
-                           F.lit(0.0).alias("overlap"))
-        return none.filter(F.lit(False))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    index = _index(templates, {r["w"]: r["count"] for r in counted})
+    prefixes = sorted({w for _, w, _, _, prefix in index if prefix})
+    known = F.broadcast(spark.createDataFrame(index, INDEX))
+    facts = F.broadcast(spark.createDataFrame(
+        [(i, t.label, t.phrase, len(t.words), len(set(t.words)), t.need) for i, t in enumerate(templates)],
+        "tid int, label string, phrase boolean, stride int, n int, need int"))
+    near = rows.filter(F.exists("hits", lambda h: h["w"].isin(prefixes))).select("row", F.explode("hits").alias("h"))
+    met = near.select("row", "h.w", "h.p").join(known, "w").join(facts, "tid")
+    # Phrases: all words at their offsets from one start.
+    starts = (met.filter("phrase").groupBy("row", "label", "stride", (F.col("p") - F.col("off")).alias("start"), "tid")
+              .agg(F.count("*").alias("found"), F.max("prefix").alias("able")).filter("able AND found = stride"))
+    places = starts.select("row", "label", F.lit(True).alias("phrase"), "start", F.lit(1.0).alias("overlap"))
+    # Other templates: candidates are blocks with a prefix word; a word lies in two blocks.
+    block = F.floor(F.col("p") / F.col("stride")).cast("int")
+    inside = met.filter("NOT phrase").withColumn("block", F.explode(F.array(block, block - 1))).filter("block >= 0")
+    candidates = inside.filter("prefix").select("row", "tid", "block").distinct()
+    # In rarity order, after the first shared word no more than n - first can be shared.
+    blocks = (inside.join(candidates, ["row", "tid", "block"], "left_semi").groupBy("row", "tid", "label", "block", "n", "need")
+              .agg(F.count("*").alias("size"), F.min("rank").alias("first"), F.size(F.collect_set("rank")).alias("own"))
+              .filter("size >= need AND n - first >= need AND own >= need"))
+    shared = blocks.select("row", "label", F.lit(False).alias("phrase"), F.lit(None).cast("int").alias("start"), (F.col("own") / F.col("n")).alias("overlap"))
+    return places.unionByName(shared)
 
 
 def scan_licenses(docs: DataFrame, templates=(*PHRASES, *NOTICES), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,8 +146,7 @@ def scan_licenses(docs: DataFrame, templates=(*PHRASES, *NOTICES), id_col: str =
     """
     rows = template_hits(docs, templates, id_col, text_col)
     found = template_matches(rows, templates).groupBy("row").agg(
-        F.sum(F.size("places")).cast("long").alias("n_base"),
-        F.min(F.array_min("places")).cast("long").alias("first_word"), F.max(F.array_max("places")).cast("long").alias("last_word"),
+        F.count("start").alias("n_base"), F.min("start").cast("long").alias("first_word"), F.max("start").cast("long").alias("last_word"),
         F.array_sort(F.collect_set(F.when(F.col("phrase"), F.col("label")))).alias("base_labels"),
         F.array_sort(F.collect_set("label")).alias("labels"), F.max("overlap").alias("score"))
     none = F.expr("cast(array() as array<string>)")
