@@ -14,8 +14,9 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _with_smallest(edges: DataFrame) -> DataFrame:
     """Edges with ``m``, the smallest of a node and its neighbours. The aggregate combines on the
-    map side, and the join is one that Spark may split where a node has very many neighbours."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    map side and is written, so that the join shuffles both sides for itself and Spark may split it
+    where a node has very many neighbours."""
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
     return edges.join(least, "a")
 
 
