@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import ship
+from threadloom.storage import materialize
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -62,18 +63,18 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` the ``k``
     rows with the highest integer inner product, its own id apart; ties go to the smaller id.
 
-    Queries and rows are cut into blocks of about the sizes given, by a hash of the id; each block
-    of queries meets each block of rows once, in a task that holds just these two. A block pair
+    Queries and rows are numbered once and cut into blocks of about the sizes given by a hash of the
+    number, so rows of one id are spread like others; each block of queries meets each block of rows once, in a task that holds just these two. A block pair
     sends on ``k`` rows a query. Fewer than ``k`` others give fewer rows; repeated ids are scored
-    as often as they stand, and a repeated query row counts once. Only vectors of one length can
-    be compared: lengths of their own form worlds of their own. Scores beyond a long fail the job.
+    as often as they stand. Different query vectors of one id have their rows ranked together; equal
+    ones count once. Only vectors of one length can be compared: lengths of their own form worlds of their own. Scores beyond a long fail the job.
     """
     ship(vectors.sparkSession)
-    rows = quantized(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v"))
-    queries = rows.filter(F.col(id_col) % every == 0).dropDuplicates([id_col])
-    n_rows = rows.count()
-    n_blocks, n_query_blocks = 1 + n_rows // row_block, 1 + n_rows // every // query_block
-    place = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    rows = quantized(vectors, id_col, vector_col, scale).select(id_col, "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("_row_"))
+    rows = materialize(rows, "whole-vectors")  # the numbers must not change any more
+    queries = rows.filter(F.col(id_col) % every == 0).dropDuplicates([id_col, "v"])
+    n_blocks, n_query_blocks = 1 + rows.count() // row_block, 1 + queries.count() // query_block
+    place = lambda n: F.pmod(F.xxhash64("_row_"), F.lit(n)).cast("int")
     left = (rows.withColumn("rb", place(n_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
             .groupBy("dim", "rb", "qb"))
     right = (queries.withColumn("qb", place(n_query_blocks)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
