@@ -420,3 +420,33 @@ def test_damaged_archives_are_an_error(spark, tmp_path, damage, split):
         table = spark.createDataFrame([(str(tmp_path / "warc" / "hidden"), len(data) if damage == "bytes between" else manifest.bytes, 5)], warc.MANIFEST)
     with pytest.raises(Exception, match="Damaged|FileNotFound|No such file|does not hold"):
         warc.read_archives(table, split).count()
+
+
+def test_labels_of_absent_texts_take_no_place(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    absent = spark.range(10**9, 10**9 + 3_000).selectExpr("id AS doc_id", "1 AS quality", "int(id % 2) AS toxic").select(*labels.columns)
+    plain, more = (sorted_rows(toxicity.score_toxicity(table, x, sample_rows=60)) for x in (labels, labels.unionByName(absent)))
+    assert plain == more
+
+
+def test_query_ids_on_several_vectors(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0])]
+    schema = "vec_id long, embedding array<double>"
+    got = [sorted_rows(top_k(spark.createDataFrame(r, schema).repartition(n), k=3)) for r, n in ((rows, 1), (rows[::-1], 3), (rows[2:] + rows[:2], 6))]
+    assert got[0] == got[1] == got[2] == [(50, 1, 1, 3 << 16), (50, 2, 2, 2 << 16), (50, 3, 3, 1 << 16)]
+
+
+def test_licenses_in_one_long_text_and_of_many_templates(spark):
+    import time
+    text = "mit license " * 40_000
+    begin = time.time()
+    found = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (found.n_words, found.n_base, found.first_word, found.last_word) == (80_000, 40_000, 0, 79_998)
+    assert time.time() - begin < 60
+    rng = random.Random(1)
+    names = [f"w{i}" for i in range(400)]
+    many = [Template(f"t{i}", " ".join(rng.sample(names, 12)), share=0.75) for i in range(1_000)]
+    rows = [(i, " ".join(rng.choices(names, k=5) + many[i].words[:10] + rng.choices(names, k=5))) for i in range(20)]
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=many).collect()
+    assert all(f"t{r.doc_id}" in r.labels for r in found)

@@ -206,6 +206,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, f
     ship(docs.sparkSession)
     out = F.coalesce(remainder(id_col, folds) == held, F.lit(False))
     marked = labelled(labels, "toxic", id_col)
+    # Labels of texts that are not there take no place in the sample.
+    marked = marked.join(docs.select(F.col(id_col).alias("_id_")), "_id_", "left_semi")
     chosen = None
     for mark in (0, 1):
         part = (marked.filter((F.col("y") == mark) & (remainder("_id_", folds) != held))
