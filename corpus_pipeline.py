@@ -6,6 +6,8 @@ stage's result to the shared folder and hands the written table to the next.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from threadloom.llm.sentencepieces import encode_decode
 from threadloom.llm.simhash import near_duplicates
 from threadloom.storage import materialize
 
-_KEY = "_pipeline_key_"
-BROADCAST_ROWS = 200_000
+_KEY, _SPANS = "_pipeline_key_", "_pipeline_spans_"
+BROADCAST_ENTRIES = 200_000  # keys of 16 or 32 bytes and spans of about as many
 
 
 def _digest(text):
@@ -33,12 +35,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(_KEY, F.unhex(_digest(F.col("text"))))
 
 
-def _decided(rows: DataFrame) -> DataFrame:
-    """Decisions by key, written; sent to every task if they are few, else joined by shuffle."""
+def _decided(rows: DataFrame, spans: str | None = None) -> DataFrame:
+    """Decisions by key, written; sent to every task if their keys and spans are few, else joined by
+    shuffle."""
     rows = materialize(rows, "decisions")
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    entries = rows.agg(F.sum(F.lit(1) + (F.size(spans) if spans else F.lit(0)))).first()[0] or 0
+    return F.broadcast(rows) if entries <= BROADCAST_ENTRIES else rows
+
+
+def _on_any_columns(stage):
+    """The stage on a table that may have columns of the names it adds; these come back unchanged."""
+    @wraps(stage)
+    def run_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        taken = {c: f"{c}kept_" for c in docs.columns if c.startswith((_KEY, _SPANS))}
+        found = stage(spark, docs.withColumnsRenamed(taken), sf_dir)
+        return found.withColumnsRenamed({v: k for k, v in taken.items()})
+
+    return run_stage
 
 
+@_on_any_columns
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     docs = _keyed(docs)
@@ -46,6 +62,7 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(_decided(found.filter("predicted = 0").select(_KEY).distinct()), _KEY, "left_anti").drop(_KEY)
 
 
+@_on_any_columns
 def near_duplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; without ids, one row."""
     # By id and text; the digest of the text has a fixed length, so no two pairs read the same.
@@ -65,6 +82,7 @@ def near_duplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rest.drop(_KEY)
 
 
+@_on_any_columns
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     docs = _keyed(docs)
@@ -72,17 +90,18 @@ def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(_decided(found.filter("contaminated").select(_KEY).distinct()), _KEY, "left_anti").drop(_KEY)
 
 
+@_on_any_columns
 def personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data is replaced by its kind; n_chars follows the text."""
     names = docs.columns
     docs = _keyed(docs)
     found = (find_spans(docs, keep=(_KEY,)).filter(F.size("spans") > 0)
-             .select(_KEY, F.col("spans").alias("_spans_")).dropDuplicates([_KEY]))
-    text = F.when(F.col("_spans_").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans_")))
-    rows = docs.join(_decided(found), _KEY, "left").withColumn("text", text)
+             .select(_KEY, F.col("spans").alias(_SPANS)).dropDuplicates([_KEY]))
+    text = F.when(F.col(_SPANS).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(_SPANS)))
+    rows = docs.join(_decided(found, _SPANS), _KEY, "left").withColumn("text", text)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        rows = rows.withColumn("n_chars", F.when(F.col(_SPANS).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return rows.select(*names)
 
 
