@@ -119,3 +119,12 @@ def test_one_id_on_unlinked_texts(spark):
 
 def ids_of(df):
     return [r.doc_id for r in df.select("doc_id").collect()]
+
+
+def test_columns_of_the_names_that_stages_add(spark):
+    names = (corpus_pipeline._KEY, corpus_pipeline._SPANS)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, rows, SF)
+        assert found.columns == rows.columns, name
+        assert found.filter(" OR ".join(f"{c} != concat('{c}', doc_id)" for c in names)).count() == 0
