@@ -13,8 +13,9 @@ from threadloom.operators.scrub import clean_messages, with_line
 
 
 def training_examples(messages: DataFrame, cfg: ChatConfig,
-                      names: DataFrame | None = None) -> DataFrame:
-    """(conversid, messageid, instruction, input, output) for each reply the member wrote.
+                      names: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(conversid, messageid, instruction, input, output, *keep) for each reply the member wrote; ``keep``
+    may name ``sent`` and ``userid``.
 
     ``messages`` hold cleaned text and conversations. A message is a target when the member wrote
     it, it has text, it does not open its conversation, and some of the ``history`` messages
@@ -30,7 +31,7 @@ def training_examples(messages: DataFrame, cfg: ChatConfig,
         prepare=lambda needed: with_line(needed, cfg, training=True, names=names))
     return found.filter(F.size("history") > 0).select(
         "conversid", "messageid", F.lit(cfg.instruction_text).alias("instruction"),
-        F.array_join("history", "\n").alias("input"), F.col("content").alias("output"))
+        F.array_join("history", "\n").alias("input"), F.col("content").alias("output"), *keep)
 
 
 def is_trigger(cfg: ChatConfig):

@@ -247,7 +247,8 @@ new_raw AS (SELECT * FROM messages WHERE sent >= {SPLIT_AT}),
 
 FOLDED = f"""WITH RECURSIVE {EXAMPLES},
 numbered AS (
-  SELECT messageid, row_number() OVER (ORDER BY conversid, messageid) - 1 AS i, count(*) OVER () AS n FROM examples),
+  SELECT messageid, row_number() OVER (ORDER BY conversid, sent, messageid) - 1 AS i, count(*) OVER () AS n
+  FROM examples JOIN (SELECT messageid, sent FROM messages) USING (messageid)),
 folds AS (
   SELECT CAST(k AS INTEGER) AS fold, messageid,
          CASE WHEN i >= round_even(n * k * 10 / 100.0, 0) AND i < round_even(n * (k + 1) * 10 / 100.0, 0)

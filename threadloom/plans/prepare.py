@@ -26,6 +26,6 @@ def prepared_messages(messages: DataFrame, cfg: ChatConfig, channels: DataFrame
 
 
 def prepare_examples(messages: DataFrame, cfg: ChatConfig, channels: DataFrame | None = None,
-                     names: DataFrame | None = None) -> DataFrame:
+                     names: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Training examples straight from raw messages."""
-    return training_examples(prepared_messages(messages, cfg, channels, names), cfg, names)
+    return training_examples(prepared_messages(messages, cfg, channels, names), cfg, names, keep)

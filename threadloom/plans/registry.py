@@ -474,13 +474,12 @@ def render_inference_prompt(spark, sf_dir):
     return examples.render_inference(chat_context(spark, sf_dir), CFG)
 
 
-EXAMPLE_ORDER = ["conversid", "messageid"]
+EXAMPLE_ORDER = ["conversid", "sent", "messageid"]
 
 
 def _folded(spark, sf_dir):
-    # Message ids of the fixture follow time, so this is the order (conversid, sent, messageid).
-    return splits.with_own_fold(
-        training_examples(spark, sf_dir).select(*EXAMPLE_ORDER), EXAMPLE_ORDER)
+    made = prepare.prepare_examples(messages(spark, sf_dir), CFG, keep=("sent",))
+    return splits.with_own_fold(made.select(*EXAMPLE_ORDER), EXAMPLE_ORDER)
 
 
 @query
