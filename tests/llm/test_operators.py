@@ -136,6 +136,90 @@ def test_contexts_after_slots_and_at_the_start(spark):
         assert (start, 0, start + len(part)) in [tuple(s) for s in found[i].spans], i
 
 
+def test_words_right_of_a_slot_and_shapes(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("bcdfgh", k=9))
+    rows = [(i, f"{word()} {word()} n{i}@m{i}.org wrote ; {word()} {word()} 10.20.30.{100 + i} {word()}") for i in range(10)]
+    rows += [(100, f"{word()} {word()} jo_at_m wrote {word()}"), (101, f"{word()} {word()} 310.20.30.111 {word()}"),
+             (102, f"{word()} {word()} 310.20.30.1112 {word()}"), (103, f"{word()} room 7 {word()}")]
+    found = {r.doc_id: r for r in pii.find_spans(docs(spark, rows)).collect()}
+    for i, kind, part in ((100, 0, "jo_at_m"), (101, 1, "310.20.30.111"), (102, 1, "310.20.30.1112")):
+        start = dict(rows)[i].index(part)
+        assert [tuple(s) for s in found[i].spans] == [(start, kind, start + len(part))] and found[i].base == []
+    assert found[103].spans == []
+
+
+def plain_bootstrap(slots, rounds, min_support, min_score):
+    """What find_spans learns, by definition: {(key, start, end): kind}."""
+    fills, seeds = {}, {}
+    for _, s in slots:
+        for p in s.patterns:
+            if s.seed is not None:
+                fills.setdefault(p, {})[s.token] = seeds[s.token] = s.seed
+            else:
+                fills.setdefault(p, {}).setdefault(s.token, None)
+    held = {(t, k): 1.0 for t, k in seeds.items()}
+    for _ in range(rounds):
+        scores = {}
+        for p, tokens in fills.items():
+            for k in range(4):
+                weights = [held[t, k] for t in tokens if (t, k) in held]
+                if len(weights) >= min_support and sum(weights) / len(tokens) >= min_score:
+                    scores[p, k] = sum(weights) / len(tokens)
+        held = {(t, k): 1.0 for t, k in seeds.items()}
+        for (p, k), score in scores.items():
+            for t, seed in fills[p].items():
+                if seed is None:
+                    held[t, k] = 1 - (1 - held.get((t, k), 0.0)) * max(1 - score, 1e-9)
+    best = {}
+    for key, s in slots:
+        options = [(round(score, 9), -k) for (p, k), score in scores.items() if p in s.patterns]
+        if s.seed is None and options:
+            best[key, s.start, s.end] = -max(options)[1]
+    return best
+
+
+def test_scoring_rounds_against_plain_ones(spark):
+    rng = random.Random(12)
+    fill = [lambda: f"u{rng.randrange(30)}@x.yy", lambda: f"10.0.0.{rng.randrange(40)}", lambda: f"id_{rng.randrange(30)}",
+            lambda: f"q{rng.randrange(12)}", lambda: f"+1 (222) 333-44{rng.randrange(30):02d}", lambda: f"{rng.randrange(400)}.0.0.{rng.randrange(400)}"]
+    heads, tails = ["mail to", "host", "see", "call me on", "ref :"], ["now", "soon", ") and", "", "."]
+    def part():
+        c = rng.randrange(5)
+        return f"{heads[c]} {fill[c if rng.random() < 0.8 else rng.randrange(6)]()} {tails[c]}"
+    rows = [(i, " ".join(part() for _ in range(rng.randint(1, 4)))) for i in range(300)]
+    scan = pii.scanned(docs(spark, rows)).cache()
+    slots = [(bytes(r.key), s) for r in scan.collect() for s in r.slots]
+    sizes = set()
+    for rounds, support, score in ((1, 3, 0.7), (2, 5, 0.7), (3, 2, 0.5)):
+        patterns = pii.confident_patterns(scan, rounds, support, score)
+        got = {(bytes(r.key), m.start, m.end): m.k for r in pii.discovered_spans(scan, patterns).collect() for m in r.more}
+        assert got == plain_bootstrap(slots, rounds, support, score)
+        sizes.add(len(got))
+    assert min(sizes) > 0 and len(sizes) > 1
+
+
+def test_hidden_seeds_are_found_again(spark):
+    """A fifth of the identifiers of the given table counts as unknown; of these the shapes find most."""
+    scan = pii.scanned(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).cache()
+    hidden = lambda s: F.pmod(F.xxhash64(s["token"]), F.lit(5)) == 0
+    less = scan.withColumn("slots", F.transform("slots", lambda s: s.withField("seed", F.when(~hidden(s), s["seed"])))).cache()
+    found = pii.discovered_spans(less, pii.confident_patterns(less, 2, 5, 0.7))
+    rows = scan.select("key", F.explode("slots").alias("s")).filter(F.col("s.seed").isNotNull()).filter(hidden(F.col("s")))
+    sought = {(bytes(r.key), r.s.start, r.s.end): r.s.seed for r in rows.collect()}
+    got = {(bytes(r.key), m.start, m.end): m.k for r in found.collect() for m in r.more}
+    right = sum(sought.get(s) == k for s, k in got.items())
+    assert len(sought) > 100 and right >= 0.5 * len(sought) and right >= 0.95 * len(got)
+
+
+def test_many_identifiers_in_one_token(spark):
+    rows = [(1, "1." * 20_000), (2, "4111111111111111;" * 1_000 + "x"), (3, "1" + "." * 200_000 + "a")]
+    found = {r.doc_id: r for r in pii.scanned(docs(spark, rows)).select("doc_id", F.size("slots").alias("n"), F.get("slots", F.lit(3)).alias("s")).collect()}
+    assert [found[i].n for i in (1, 2, 3)] == [5_000, 1_000, 1]
+    assert (found[2].s.start, found[2].s.end, found[2].s.token) == (51, 67, "4111111111111111")
+    assert found[2].s.patterns[:3] == ["left2 0 0", "left1 0", "right 0"]
+
+
 def test_redaction(spark):
     t = "mail a@b.com or +1 (234) 567-8901, 4111111111111111."
     got = docs(spark, [(1, t), (2, "none")]).select(pii.redacted(F.col("text"), pii.base_spans(F.col("text")))).collect()
