@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -288,6 +289,43 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
 
 
+def plain_statistics(text):
+    data = text.encode()
+    words, lines, n = data.split(), [x for x in data.split(b"\n") if x], len(data) or 1
+    m = len(words) or 1
+    log = lambda share: np.log(0.005 + share)
+    of = lambda chars: log(sum(c in chars.encode() for c in data) / n)
+    marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    ends = sum(chr(c) in marks and (i + 1 == len(data) or data[i + 1:i + 2].isspace()) for i, c in enumerate(data))
+    return [np.log1p(len(words)), sum(c not in b" \t\n\r\x0b\x0c" for c in data) / m if not words else (len(data) - len(words)) / m,
+            of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), of("0123456789"), of("#$%&*+<=>@[]^_{|}~/\\"), of("!?"), of(".,;:"),
+            log(sum(a == b for a, b in zip(words, words[1:])) / m), len(set(words)) / m,
+            log(max((words.count(w) for w in set(words)), default=0) / m), log(words.count(b"|") / m), log(ends / m),
+            log(1 - len(set(lines)) / len(lines) if lines else 0.0)]
+
+
+def test_quality_against_plain_discriminant(spark):
+    """Statistics letter by letter, covariances and densities of numpy, all rows of the given tables."""
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    stats = {i: np.array(plain_statistics(t)) for i, t in texts(spark).items()}
+    learnt = {i: known[i] for i in stats if i in known and zlib.crc32(str(i).encode()) % 4 != 2}
+    every = np.array([stats[i] for i in learnt])
+    pooled = np.cov(every.T, bias=True)
+    density = []
+    for k in (0, 1):
+        rows = np.array([stats[i] for i, y in learnt.items() if y == k])
+        cov = 0.9 * np.cov(rows.T, bias=True) + 0.05 * pooled + 0.05 * np.diag(np.diag(pooled)) + 0.01 * np.eye(len(pooled))
+        density.append(lambda x, m=rows.mean(0), c=cov: -0.5 * (x - m) @ np.linalg.solve(c, x - m) - 0.5 * np.linalg.slogdet(c)[1])
+    ones = sum(learnt.values())
+    prior = np.log((ones + 1) / (len(learnt) - ones + 1))
+    found = queries.op6_quality(spark, SF).collect()
+    assert len(found) == len(stats)
+    for r in found:
+        score = 1 / (1 + np.exp(-np.clip(prior + density[1](stats[r.doc_id]) - density[0](stats[r.doc_id]), -500, 500)))
+        assert abs(r.score - score) < 1e-6 and r.predicted == (r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
