@@ -58,6 +58,45 @@ def test_chat_context(chat, limit):
     assert {r.messageid: r.context for r in rows} == expected
 
 
+def moved(df):
+    """The columns of each shuffle of a plan."""
+    plan = df._jdf.queryExecution().sparkPlan()
+    ready = df.sparkSession._jvm.org.apache.spark.sql.execution.exchange.EnsureRequirements(
+        getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.exchange.EnsureRequirements, "apply$default$1")(),
+        getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.exchange.EnsureRequirements, "apply$default$2")()).apply(plan)
+    found, todo = [], [ready]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            found.append({node.output().apply(i).name() for i in range(node.output().size())})
+    return found
+
+
+@pytest.mark.parametrize("limit", [10**6, 12])
+def test_text_moves_once(spark, limit):
+    """Only to the groups, and only for the rows that are needed."""
+    cfg = replace(FIXTURE_CFG, max_group_rows=limit)
+    rows = fixture_messages(spark, SF, replies=False)
+    for found in (examples.chat_context(rows, cfg), prepare_examples(rows, cfg)):
+        with_text = [m for m in moved(found) if m & {"content", "line"}]
+        assert len(with_text) == 1 and "_pos" in with_text[0]
+
+
+def test_needed_rows_too_many_to_send(chat, spark):
+    _, df = chat
+    want = [sorted(map(tuple, f(df, CFG).collect())) for f in (examples.training_examples, examples.chat_context)]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        got = [f(df, CFG) for f in (examples.training_examples, examples.chat_context)]
+        assert all("BroadcastHashJoin" not in f._jdf.queryExecution().sparkPlan().toString() for f in got)
+        assert [sorted(map(tuple, f.collect())) for f in got] == want
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_split_run_over_the_fixture(spark):
     small = replace(FIXTURE_CFG, max_group_rows=25)
     whole = prepare_examples(fixture_messages(spark, SF), FIXTURE_CFG).collect()

@@ -12,22 +12,31 @@ from threadloom.operators.history import with_history
 from threadloom.operators.scrub import clean_messages, with_line
 
 
-def training_examples(messages: DataFrame, cfg: ChatConfig,
-                      names: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+HAS_TEXT = "has_text"
+
+
+def has_text(content: Column) -> Column:
+    return F.coalesce(content != "", F.lit(False)).alias(HAS_TEXT)
+
+
+def training_examples(messages: DataFrame, cfg: ChatConfig, names: DataFrame | None = None,
+                      keep: tuple[str, ...] = (), texts: DataFrame | None = None) -> DataFrame:
     """(conversid, messageid, instruction, input, output, *keep) for each reply the member wrote; ``keep``
     may name ``sent`` and ``userid``.
 
-    ``messages`` hold cleaned text and conversations. A message is a target when the member wrote
-    it, it has text, it does not open its conversation, and some of the ``history`` messages
-    before it have text.
+    ``messages`` hold cleaned text and conversations; with ``texts`` (messageid, content) they hold
+    ``has_text`` in the text's place. A message is a target when the member wrote it, it has text, it
+    does not open its conversation, and some of the ``history`` messages before it have text. Rows are
+    found without text, which joins those that examples need.
     """
+    flag = has_text(F.col("content")) if texts is None else HAS_TEXT
     rows = messages.filter(is_assigned()).select(
-        "messageid", "conversid", "userid", "sent", "content", "isFirstInConvers")
-    wanted = ((F.col("userid") == cfg.user_id) & (F.col("content") != "")
-              & ~F.col("isFirstInConvers"))
+        "messageid", "conversid", "userid", "sent", "isFirstInConvers", flag)
+    wanted = (F.col("userid") == cfg.user_id) & F.col(HAS_TEXT) & ~F.col("isFirstInConvers")
     found = with_history(
         rows, ["conversid"], ["sent", "messageid"], is_target=wanted, lookback=cfg.history,
         include_self=False, item="line", max_group_rows=cfg.max_group_rows,
+        late=(messages if texts is None else texts).select("messageid", "content"),
         prepare=lambda needed: with_line(needed, cfg, training=True, names=names))
     return found.filter(F.size("history") > 0).select(
         "conversid", "messageid", F.lit(cfg.instruction_text).alias("instruction"),
@@ -46,16 +55,17 @@ def chat_triggers(messages: DataFrame, cfg: ChatConfig) -> DataFrame:
 def chat_context(messages: DataFrame, cfg: ChatConfig, names: DataFrame | None = None,
                  asked: Column | None = None) -> DataFrame:
     """(messageid, channelid, context) for each trigger (among ``asked`` rows): the newest ``history`` messages of its
-    channel up to the trigger itself, cleaned for live use; empty ones take a place unseen."""
+    channel up to the trigger itself, cleaned for live use; empty ones take a place unseen. Text joins
+    only the messages that contexts need."""
 
     def lines(needed: DataFrame) -> DataFrame:
         return with_line(clean_messages(needed, cfg, False, names=names), cfg, False, names=names)
 
+    wanted = F.coalesce(is_trigger(cfg) & (F.lit(True) if asked is None else asked), F.lit(False))
     found = with_history(
-        messages.select("messageid", "channelid", "userid", "sent", "content",
-                        (F.lit(True) if asked is None else asked).alias("_asked")), ["channelid"],
-        ["sent", "messageid"], is_target=is_trigger(cfg) & F.col("_asked"), lookback=cfg.history - 1, include_self=True,
-        item="line", max_group_rows=cfg.max_group_rows, prepare=lines)
+        messages.select("messageid", "channelid", "userid", "sent", wanted.alias("_wanted")), ["channelid"],
+        ["sent", "messageid"], is_target=F.col("_wanted"), lookback=cfg.history - 1, include_self=True,
+        item="line", max_group_rows=cfg.max_group_rows, late=messages.select("messageid", "content"), prepare=lines)
     return found.select("messageid", "channelid", F.array_join("history", "\n").alias("context"))
 
 

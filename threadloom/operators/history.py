@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from threadloom.config import MAX_GROUP_ROWS
 from threadloom.operators.ordered import group_sizes, ordered
 from threadloom.operators.skew import hot_join
+from threadloom.storage import materialize
 
 
 def with_history(rows: DataFrame, keys: list[str], order: list[str], *, is_target: Column,
-                 lookback: int, include_self: bool, item: str,
+                 lookback: int, include_self: bool, item: str, late: DataFrame | None = None,
                  prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows, out: str = "history",
                  unique: str = "messageid", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Target rows with array ``out``: ``item`` of the ``lookback`` rows before, oldest first.
@@ -26,6 +27,11 @@ def with_history(rows: DataFrame, keys: list[str], order: list[str], *, is_targe
     looks back at leave right after it, and only then ``prepare`` runs. When a group is too large
     for one task, rows get their exact position, groups are cut into blocks of positions, and the
     last ``lookback`` rows of a block are copied to the next one.
+
+    Wide columns belong in ``late`` (``unique`` and what ``prepare`` or the result reads besides):
+    the rows needed are found without them, written, and joined with ``late`` by ``unique``. Where
+    their written size is below Spark's limit they are sent to the tasks that read ``late``, and only
+    their own wide values move, once, to their groups.
     """
     largest, _ = group_sizes(rows, keys)
     rows = rows.withColumn("_target", is_target)
@@ -52,6 +58,8 @@ def with_history(rows: DataFrame, keys: list[str], order: list[str], *, is_targe
     ahead = by_position.rowsBetween(Window.currentRow, lookback)
     behind = by_position.rangeBetween(-lookback, 0 if include_self else -1)
     needed = rows.withColumn("_needed", F.max("_target").over(ahead)).filter("_needed")
+    if late is not None:
+        needed = late.join(materialize(needed, "needed"), unique)
     return (prepare(needed)
             .withColumn(out, F.collect_list(item).over(behind))
             .filter("_target")

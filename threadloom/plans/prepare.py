@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from threadloom.config import ChatConfig
 from threadloom.operators.conversations import assign_conversations
-from threadloom.operators.examples import training_examples
+from threadloom.operators.examples import has_text, training_examples
 from threadloom.operators.scrub import clean_messages
 from threadloom.storage import materialize
 
@@ -27,5 +28,13 @@ def prepared_messages(messages: DataFrame, cfg: ChatConfig, channels: DataFrame
 
 def prepare_examples(messages: DataFrame, cfg: ChatConfig, channels: DataFrame | None = None,
                      names: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Training examples straight from raw messages."""
-    return training_examples(prepared_messages(messages, cfg, channels, names), cfg, names, keep)
+    """Training examples straight from raw messages.
+
+    Text is cleaned once and written where it was read. Conversations, and the rows examples need, are
+    found from the other columns and a flag for text.
+    """
+    texts = materialize(clean_messages(messages, cfg, training=True, names=names)
+                        .select("messageid", "userid", "sent", "content", has_text(F.col("content"))), "cleaned")
+    assigned = assign_conversations(messages, cfg, channels).drop("channelid")
+    rows = materialize(texts.drop("content").join(assigned, "messageid"), "prepared")
+    return training_examples(rows, cfg, names, keep, texts=texts)
