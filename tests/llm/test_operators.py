@@ -387,6 +387,27 @@ def test_pieces_of_random_text():
     assert model.decode(odd) == model.library.decode(odd)
 
 
+def test_decoded_text_comes_from_the_ids(monkeypatch):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = MergeModel(f.read())
+    seen = []
+
+    def decode(self, ids):
+        seen.append(list(map(int, ids)))
+        return f"text of {len(ids)}"
+
+    monkeypatch.setattr(MergeModel, "decode", decode)
+    rows = ["a word, a line\n", "", "😀 中 é"]
+    # The whole-text check is the library's; only what is returned is looked at here.
+    monkeypatch.setattr(model, "library", type("Library", (), {
+        "encode": lambda self, text, **kw: real.encode(text, **kw),
+        "decode": lambda self, ids: f"text of {len(ids)}" if ids == real.encode(rows[0]) else real.decode(ids)})())
+    real = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    encoded, decoded = model.encode_batch(rows)
+    assert seen == [np.frombuffer(e, "<i4").tolist() for e in encoded] == [real.encode(t) for t in rows]
+    assert decoded == [f"text of {len(ids)}" for ids in seen]
+
+
 # 10
 
 def plain_repeats(rows, window):

@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import ship
 
 SPACE = "▁"
-CACHED_BYTES = 128 << 20  # of known units, in two generations of half of it
+CACHED_BYTES = 48 << 20  # of known units, in two generations of half of it
 UNIT_BYTES = 200  # of a known unit's Python objects, beside its characters and ids
 CHECKED_CHARS = 20_000  # of units checked in one go, and of the text of a slice checked whole
 SHORT_UNIT = 64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # Fixed values of the model file format.
 NORMAL, UNKNOWN, BYTE, MERGE_MODEL = 1, 2, 6, 2
 
@@ -91,6 +91,7 @@ class MergeModel:
         if not supported:
             raise ValueError("not a merge vocabulary with byte fallback and identity normalisation")
         self._tabulate()
+        self.shown = np.array([bytes([s]) if isinstance(s, int) else s.replace(SPACE, " ").encode() for s in self.surface], object)
         self.old: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.held = 0
@@ -198,9 +199,15 @@ class MergeModel:
             run = bytearray()
         return "".join([*out, _decode_bytes(run)]).replace(SPACE, " ")
 
-    def decode(self, ids: list[int]) -> str:
-        text = self.surface_of(ids)
-        first = self.surface[ids[0]] if len(ids) else ""
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        ids = np.asarray(ids, np.int32)
+        if not ids.size:
+            return ""
+        try:  # pieces are whole characters, so this is text just where every run of bytes is
+            text = b"".join(self.shown[ids].tolist()).decode()
+        except UnicodeDecodeError:
+            text = self.surface_of(ids.tolist())
+        first = self.surface[ids[0]]
         return text[1:] if isinstance(first, str) and first.startswith(SPACE) else text
 
     def _learn(self, units: set[str]) -> None:
@@ -251,8 +258,7 @@ class MergeModel:
             self._learn(missing)
         known = self.new.__getitem__
         encoded = [b"".join(map(known, units)) for units in split]
-        # The pieces of a unit make up its characters, byte by byte if need be, so it decodes to itself.
-        decoded = ["".join(units)[1:].replace(SPACE, " ") for units in split]
+        decoded = [self.decode(np.frombuffer(ids, "<i4")) for ids in encoded]
         for i in [i for i, t in enumerate(texts) if len(t) <= CHECKED_CHARS][:1]:
             theirs = self.library.encode(texts[i])
             if _packed(theirs) != encoded[i] or self.library.decode(theirs) != decoded[i]:
