@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators.history import with_history
-from threadloom.operators.ordered import first_per_group, ordered, with_row_index
+from threadloom.operators.ordered import FEW_CHUNKS, chunk_count, first_per_group, ordered, with_row_index
 from threadloom.operators.thinning import greedy_thin
 
 LIMITS = [1000, 7]
@@ -45,6 +45,14 @@ def test_previous_last_count_position(spark, rows, limit):
             assert g.prev == (None if i == 0 else (group[i - 1].messageid, group[i - 1].v))
 
 
+def test_a_small_limit_makes_no_more_chunks_than_the_input_asks_for(spark):
+    assert chunk_count(400, 7) == 59
+    assert chunk_count(36_000_000, 50) == chunk_count(600_000, 20) == FEW_CHUNKS + 1
+    assert chunk_count(10**10, 50) == chunk_count(10**10, 1_000_000) == 10_001
+    rows = spark.range(5_000).withColumn("g", F.lit(0))
+    assert ordered(rows, ["g"], ["id"], 1).rows.select("_chunk").distinct().count() <= FEW_CHUNKS + 1
+
+
 def test_row_index(spark, rows):
     got = {r.messageid: r.row_index for r in with_row_index(rows, ["t", "messageid"]).collect()}
     expected = sorted(rows.collect(), key=lambda r: (r.t, r.messageid))

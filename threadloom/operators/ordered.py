@@ -22,6 +22,9 @@ from threadloom.storage import materialize
 
 CHUNK = "_chunk"
 MAX_CHUNKS = 20_000  # keeps the shuffle and the carried table small; chunks just grow beyond it
+# A task and a file a chunk: a limit far below what a task can take makes no more than these, whatever
+# the input's size; beyond them a chunk has up to MAX_GROUP_ROWS rows.
+FEW_CHUNKS = 200
 
 
 def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -117,6 +120,11 @@ class Ordered:
         return self.with_rows(counted.rows.withColumn(out, F.col(out) - 1))
 
 
+def chunk_count(total: int, max_group_rows: int) -> int:
+    rows = max(max_group_rows, min(MAX_GROUP_ROWS, math.ceil(total / FEW_CHUNKS)))
+    return min(MAX_CHUNKS, 1 + math.ceil(total / rows))
+
+
 def ordered(df: DataFrame, keys: list[str], order: list[str],
             max_group_rows: int = MAX_GROUP_ROWS, sizes: tuple[int, int] | None = None) -> Ordered:
     """``df`` prepared for ordered computations; ``keys + order`` must be unique, keys not null.
@@ -126,7 +134,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
     largest, total = sizes or group_sizes(df, keys)
     if largest <= max_group_rows:
         return Ordered(df, tuple(keys), tuple(order), split=False)
-    chunks = min(MAX_CHUNKS, 1 + math.ceil(total / max_group_rows))
+    chunks = chunk_count(total, max_group_rows)
     ranged = df.repartitionByRange(chunks, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
     return Ordered(materialize(ranged, "chunks"), tuple(keys), tuple(order), split=True)
 
