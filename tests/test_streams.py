@@ -8,6 +8,7 @@ from model import HOUR, assign
 from test_conversations import random_lists
 
 from threadloom.operators import examples, gate
+from threadloom.plans import registry
 from threadloom.plans.fixture import CFG, SPLIT, messages
 from threadloom.sources.messages import read_messages
 from threadloom.streaming import runs, streams
@@ -137,3 +138,14 @@ def test_ingest_and_assign_runs(spark, tmp_path, late):
         stored += [m._replace(conversid=found[m.messageid][0]) for m in new]
         got = read_messages(spark, done, schema=df.schema).collect()
         assert sorted((r.messageid, r.conversid) for r in got) == sorted((m.messageid, m.conversid) for m in stored)
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_ingest_backfill"])
+def test_tables_land_without_passing_one_task(spark, monkeypatch, name):
+    def coalesce(df, n):
+        raise AssertionError(f"{n} tasks")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", coalesce)
+    sf = "/root/testdata/sf0.001"
+    rows = registry.QUERIES[name](spark, sf)
+    assert rows.count() == rows.select("messageid").distinct().count() == messages(spark, sf, replies=False).count()

@@ -32,6 +32,7 @@ BUSY = timedelta(hours=30)
 CHANNEL = 7
 INGEST_TEST_LIMIT = 5
 SEED = 17
+WHOLE_RUN = 1 << 62  # bytes of a micro-batch that takes all that has landed
 ID_WIDTH = 2_500  # of the fixture's ids, which are dense
 
 
@@ -511,14 +512,19 @@ def _run(spark, stream, label):
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _ingested(spark, parts, max_bytes=512 << 20):
-    """Lands each list of tables in turn, a run after each, and reads what was stored."""
+def _ingested(spark, parts, cut=False):
+    """Lands each list of tables in turn, a run after each, and reads what was stored. With ``cut`` a
+    run has about as many micro-batches as there are tables in its list."""
     landing, stored, mark = (new_path(spark, x) for x in ("landing", "stored", "mark"))
     schema = parts[0][0].schema
     for part in parts:
         for df in part:
-            df.coalesce(1).write.mode("append").parquet(landing)
-        streams.ingest(streams.read_stream(spark, landing, schema, max_bytes), stored, mark, ID_WIDTH)
+            df.write.mode("append").parquet(landing)
+        size = WHOLE_RUN
+        if cut:
+            landed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(landing)
+            size = max(1, landed.agg(F.sum("length")).first()[0] // len(part))
+        streams.ingest(streams.read_stream(spark, landing, schema, size), stored, mark, ID_WIDTH)
     return read_messages(spark, stored, schema=schema).select("messageid", "channelid", "userid", "sent", "content", "replyid")
 
 
@@ -531,13 +537,13 @@ def stream_ingest(spark, sf_dir):
 
 @query
 def stream_ingest_backfill(spark, sf_dir):
-    # One channel's newer half first; then, a file a micro-batch, everyone's later half, their older
+    # One channel's newer half first; then, in several micro-batches, everyone's later half, their older
     # histories and repeats of both.
     prior, new = _halves(spark, sf_dir)
     one = F.col("channelid") == CHANNEL
     rest = [new.filter(~one), prior.filter(F.col("channelid") % 2 == 0), prior.filter(F.col("channelid") % 2 == 1),
             new.filter(one | (F.col("messageid") % 5 == 0)), prior.filter(F.col("messageid") % 3 == 0)]
-    return _ingested(spark, [[new.filter(one)], rest], max_bytes=1)
+    return _ingested(spark, [[new.filter(one)], rest], cut=True)
 
 
 def _raw_lines(m):
