@@ -8,6 +8,7 @@ from model import HOUR, assign
 from test_conversations import frame, random_lists
 
 from threadloom.operators import examples, gate
+from threadloom.plans import registry
 from threadloom.plans.fixture import CFG, SPLIT, messages
 from threadloom.sources import messages as M
 from threadloom.streaming import live, runs, streams
@@ -181,3 +182,41 @@ def test_late_messages(spark, tmp_path, kind):
     assert [(r.messageid, r.sent.replace(tzinfo=None), r.context) for r in sorted(got, key=lambda r: r.messageid)] == [
         (6, at(6), "Ann: three\nAnn: five\nAnn: one"),
         (7, at(7), "Ann: late\nAnn: three\nAnn: four\nAnn: five\nAnn: one\nAnn: two")]
+
+
+@pytest.mark.parametrize("name", ["live_context", "live_gate"])
+def test_weeks_land_without_passing_one_task(spark, monkeypatch, name):
+    def coalesce(df, n):
+        raise AssertionError(f"{n} tasks")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", coalesce)
+    m = messages(spark, SF, replies=False)
+    asked = examples.chat_triggers(m, CFG)
+    want = asked if name == "live_context" else gate.trigger_gate(asked, BUSY)
+    got = registry.QUERIES[name](spark, SF)
+    assert sorted(r.messageid for r in got.collect()) == sorted(r.messageid for r in want.collect())
+
+
+def test_a_channel_costs_no_frame(monkeypatch):
+    """Rows of a channel are lists; only answers make a frame, so channels without one are cheap."""
+    class State:
+        exists, kept = False, None
+        get = property(lambda self: self.kept)
+
+        def update(self, value):
+            self.exists, self.kept = True, value
+
+    state, run = State(), live._answer(2, None)
+    part = live.pd.DataFrame({"channelid": 5, "messageid": [3, 1, 2], "t": [30, 10, 20], "line": ["c", None, "b"], "asked": [False] * 3})
+    late = live.pd.DataFrame({"channelid": 5, "messageid": [4, 9], "t": [25, 40], "line": ["d", "e"], "asked": [True, True]})
+
+    def frame(*args, **kwargs):
+        raise AssertionError("a frame")
+
+    with monkeypatch.context() as m:
+        m.setattr(live.pd, "DataFrame", frame)
+        m.setattr(live.pd, "concat", frame)
+        assert list(run((5,), iter([part]), state)) == []
+    assert state.kept == ([20, 30], [2, 3], ["b", "c"], None)
+    [found] = run((5,), iter([late]), state)
+    assert found.values.tolist() == [[9, 5, 40, "c\ne"]] and state.kept == ([30, 40], [3, 9], ["c", "e"], 40)

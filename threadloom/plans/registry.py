@@ -614,13 +614,12 @@ def stream_context_unordered(spark, sf_dir):
 
 
 def _live(spark, sf_dir, busy):
-    # In order of time, a file a week, a file a micro-batch; stopped in the middle and started again.
+    # In order of time, a week a micro-batch; stopped after each and started again.
     m = messages(spark, sf_dir, replies=False)
     landing, out, mark = (new_path(spark, x) for x in ("landing", "answers", "mark"))
-    for first, last in ((1, 14), (15, 31)):
-        for day in range(first, last, 7):
-            m.filter(F.dayofmonth("sent").between(day, min(day + 6, last))).coalesce(1).write.mode("append").parquet(landing)
-        answers = live.live_answers(streams.read_stream(spark, landing, m.schema, max_bytes=1), CFG, busy)
+    for day in range(1, 31, 7):
+        m.filter(F.dayofmonth("sent").between(day, min(day + 6, 31))).write.mode("append").parquet(landing)
+        answers = live.live_answers(streams.read_stream(spark, landing, m.schema, max_bytes=WHOLE_RUN), CFG, busy)
         streams.run_to_parquet(answers, out, mark)
     return spark.read.schema(answers.schema).parquet(out)
 

@@ -13,7 +13,9 @@ the batch operators, however it is cut into micro-batches and runs. Landing must
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from datetime import timedelta
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,28 +35,32 @@ ANSWER = "messageid bigint, channelid bigint, t bigint, context string"
 def _answer(history: int, busy: int | None):
     """The state function: all rows of a channel in a micro-batch to the answers given."""
     def run(key, parts, state: GroupState):
-        kept, answered = pd.DataFrame({"t": [], "messageid": [], "line": [], "asked": []}), None
+        # Channels are many and their rows few, so plain lists: a frame's operations cost more than these.
+        new = []
+        for p in parts:
+            new += zip(map(int, p["t"].tolist()), map(int, p["messageid"].tolist()), p["line"].tolist(), p["asked"].tolist())
+        kept, answered = [], None
         if state.exists:
             times, ids, lines, answered = state.get
-            kept = pd.DataFrame({"t": times, "messageid": ids, "line": lines, "asked": False})
-        mark = (kept.t.iloc[-1], kept.messageid.iloc[-1]) if len(kept) else None
-        new = pd.concat([p[["t", "messageid", "line", "asked"]] for p in parts])
-        if mark is not None:
-            on_time = (new.t > mark[0]) | ((new.t == mark[0]) & (new.messageid > mark[1]))
-            new["asked"] &= on_time
-            # Late rows stand among the kept ones, of which the newest stay.
-            kept = pd.concat([kept, new[~on_time]]).sort_values(["t", "messageid"]).tail(history)
-            new = new[on_time]
-        rows = pd.concat([kept, new.sort_values(["t", "messageid"])]) if len(kept) else new.sort_values(["t", "messageid"])
-        t, ids, lines = rows.t.astype("int64").tolist(), rows.messageid.astype("int64").tolist(), rows.line.tolist()
+            kept = [(t, i, line, False) for t, i, line in zip(times, ids, lines)]
+        new.sort(key=itemgetter(0, 1))
+        if kept:
+            on_time = bisect_right(new, kept[-1][:2], key=itemgetter(0, 1))
+            if late := [(t, i, line, False) for t, i, line, _ in new[:on_time]]:
+                # Late rows stand among the kept ones, of which the newest stay.
+                kept = sorted(kept + late, key=itemgetter(0, 1))[-history:]
+                new = new[on_time:]
+        rows = kept + new
         found = []
-        for i in rows.asked.astype(bool).to_numpy().nonzero()[0].tolist():
-            if busy is None or answered is None or t[i] - answered >= busy:
-                answered = t[i]
-                seen = [x for x in lines[max(0, i + 1 - history):i + 1] if isinstance(x, str)]
-                found.append((ids[i], key[0], t[i], "\n".join(seen)))
-        state.update((t[-history:], ids[-history:], [x if isinstance(x, str) else None for x in lines[-history:]], answered))
-        yield pd.DataFrame(found, columns=["messageid", "channelid", "t", "context"])
+        for n, (t, i, _, asked) in enumerate(rows):
+            if asked and (busy is None or answered is None or t - answered >= busy):
+                answered = t
+                seen = [line for _, _, line, _ in rows[max(0, n + 1 - history):n + 1] if isinstance(line, str)]
+                found.append((i, key[0], t, "\n".join(seen)))
+        rows = rows[-history:]
+        state.update(([r[0] for r in rows], [r[1] for r in rows], [r[2] if isinstance(r[2], str) else None for r in rows], answered))
+        if found:
+            yield pd.DataFrame(found, columns=["messageid", "channelid", "t", "context"])
 
     return run
 
