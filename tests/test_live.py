@@ -48,6 +48,20 @@ def landed(spark, tmp_path, parts, run):
     return [(r.messageid, r.conversid) for r in M.read_messages(spark, done, schema=df.schema).collect()]
 
 
+def test_a_run_looks_up_what_is_assigned_once(spark, tmp_path, monkeypatch):
+    looked, plain = [], runs.not_stored
+    monkeypatch.setattr(runs, "not_stored", lambda rows, path, width: looked.append(path) or plain(rows, path, width))
+    everything = sorted(random_lists(8, channels=3, size=40), key=lambda m: m.t)
+
+    def run(landing, table, mark, done, schema):
+        runs.ingest_run(spark, landing, table, mark, schema, WIDTH)
+        runs.assign_run(spark, table, done, CFG, schema, width=WIDTH)
+
+    found = landed(spark, tmp_path, [everything[:60], everything[60:]], run)
+    assert sorted(i for i, _ in found) == sorted(m.messageid for m in everything)
+    assert looked == [str(tmp_path / "done")] * 2
+
+
 def test_assignment_reads_what_it_touches(spark, tmp_path):
     everything = sorted(random_lists(8, channels=3, size=60), key=lambda m: m.t)
     first, second = everything[:150], everything[150:]

@@ -86,7 +86,7 @@ def assign_run(spark: SparkSession, table: str, assigned: str, cfg: ChatConfig,
     unfinished = sorted(set(children(spark, f"{work}/result")) - set(children(spark, f"{work}/last")))
     if unfinished:
         # Nothing was staged since, so what is staged is what that run took.
-        _finish(spark, assigned, work, unfinished[0], schema, width)
+        _finish(spark, assigned, work, unfinished[0], schema, width, again=True)
         drop_staged(spark, work, children(spark, f"{work}/staged"))
     _stage(read_stream(spark, table, schema, recursiveFileLookup=True), work)
     runs = children(spark, f"{work}/last")
@@ -107,10 +107,12 @@ def assign_run(spark: SparkSession, table: str, assigned: str, cfg: ChatConfig,
     drop_staged(spark, work, numbers)
 
 
-def _finish(spark: SparkSession, assigned: str, work: str, run: int, schema, width: int) -> None:
-    """Store a run's result, of which some may be stored already, and what later runs need of it."""
+def _finish(spark: SparkSession, assigned: str, work: str, run: int, schema, width: int, again: bool = False) -> None:
+    """Store a run's result and what later runs need of it. Only the result of a run that failed
+    (``again``) can hold rows that are stored already; else the folders are not listed and read for it."""
     result = spark.read.schema(schema).parquet(f"{work}/result/{run}")
-    append_by_id(not_stored(result, assigned, width).select(*schema.fieldNames()), assigned, width)
+    rows = not_stored(result, assigned, width) if again else result
+    append_by_id(rows.select(*schema.fieldNames()), assigned, width)
     row = F.struct(*NARROW)
     spans = result.groupBy(id_range("messageid", width).alias("ids"), "channelid").agg(F.max_by(row, _at()).alias("row"))
     spans.write.mode("overwrite").parquet(f"{work}/spans/{run}")
