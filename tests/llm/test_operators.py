@@ -434,6 +434,50 @@ def test_repeated_strings(spark, core_rows):
     assert [bytes(r.kept) for r in sorted(found)] == want
 
 
+def plain_passages(rows, words):
+    split = [tuple(t.encode().split()) for t in rows]
+    rows_of = {}
+    for i, t in enumerate(split):
+        for j in range(len(t) - words + 1):
+            rows_of.setdefault(t[j:j + words], set()).add(i)
+    return [any(len(rows_of[t[j:j + words]]) > 1 for j in range(len(t) - words + 1)) for t in split]
+
+
+@pytest.mark.parametrize("core, part", [(2, 1 << 17), (6, 40), (12, 1 << 17)])
+def test_shared_passages(spark, core, part, monkeypatch):
+    from threadloom.llm import passages
+
+    rng = random.Random(7)
+    some = lambda n: [rng.choice("abcdefgh") + rng.choice("abcdé") * rng.randint(0, 2) for _ in range(n)]
+    passage = some(14)
+    rows = []
+    for n in (10, 11, 12, 12, 13, 14):  # of fewer than 12 words none is shared
+        at = rng.randint(0, 14 - n)
+        rows.append(" ".join(some(rng.randint(0, 30)) + passage[at:at + n] + some(rng.randint(0, 30))))
+    rows += ["\n ".join(some(5) + passage) + "\t", "  " + "\x0b\r\n".join(passage[1:13]), "\u00a0".join(passage)]
+    own = some(20)
+    rows += [" ".join(own + ["z"] + own), " ".join(some(11)), "w " * 12, "w " * 11, "", " ".join(some(12))]
+    rows += [rows[-1], "ab " * 300, "ba " * 9 + "ab " * 290 + "x", " ".join(["é", *some(200)])]
+    rows += [" ".join(rng.choices("ab", k=rng.randint(0, 40))) for _ in range(40)]
+    df = docs(spark, [*enumerate(rows), (99, None)])
+    monkeypatch.setattr(passages, "PART_WORDS", part)
+    parts = list(passages._parts([t.encode() for t in rows], 12))
+    assert all(len(text.split()) < part + 12 for batch in parts for _, _, text in batch)
+    found = sorted(remove_repeats(df, window=60, core=20, inner_core=44, passage_words=12, passage_core=core).collect())
+    assert [r.shares_passage for r in found] == [*plain_passages(rows, 12), False]
+    plain = sorted(remove_repeats(df, window=60, core=20, inner_core=44).collect())
+    assert [(r.spans, r.kept) for r in found] == [(r.spans, r.kept) for r in plain]
+
+
+def test_passages_of_fewer_bytes_than_a_repeat_are_told(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(51))
+    rows = [(0, "one " + passage + " two"), (1, "three " + passage), (2, passage.rpartition(" ")[0] + " other"), (3, None), (None, long_text(80, 3))]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op10_repeated_strings(spark, str(tmp_path)).collect()}
+    assert {i: r.shares_passage for i, r in found.items()} == {0: True, 1: True, 2: False, 3: False, None: False}
+    assert all(r.n_removed == r.n_spans == 0 and not r.has_repeats for r in found.values())
+
+
 def test_merged_transforms():
     rng = np.random.default_rng(3)
     rows = [rng.integers(0, 2, rng.integers(0, 60)).astype(np.uint16) for _ in range(40)]

@@ -88,11 +88,11 @@ def op9_sentencepiece(spark, sf_dir, model_path=None):
 
 def op10_repeated_strings(spark, sf_dir):
     """Which bytes of each text belong to a long string that stands elsewhere as well?"""
-    found = remove_repeats(table(spark, sf_dir, "documents"))
+    found = remove_repeats(table(spark, sf_dir, "documents"), passage_words=51)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", F.length("data").cast("long").alias("n_bytes"), removed.alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
-                        (F.size("spans") > 0).alias("has_repeats"))
+                        (F.size("spans") > 0).alias("has_repeats"), "shares_passage")
 
 
 def op11_whitening(spark, sf_dir):

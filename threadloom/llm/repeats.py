@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.anchors import DIGEST, anchors, digests, pairs
 from threadloom.llm.bwt import repeated
 from threadloom.llm.common import ship, text_key
+from threadloom.llm.passages import open_passages, shared_windows
 from threadloom.storage import materialize
 
 BATCH_BYTES = 1 << 20
@@ -115,9 +116,13 @@ def _merged(lo, hi, window: int) -> list[tuple[int, int]]:
     return list(zip(lo[new].tolist(), reach[np.r_[new[1:] - 1, len(lo) - 1]].tolist()))
 
 
-def repeated_ranges(texts: DataFrame, window: int, core: int, inner_core: int, core_rows: int) -> DataFrame:
+def repeated_ranges(texts: DataFrame, window: int, core: int, inner_core: int, core_rows: int,
+                    also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, size, spans) of each text (key, size, data) with repeated strings: sorted, disjoint
-    byte ranges. Equal (key, size) stand for equal texts; keys are digests of the bytes."""
+    byte ranges. Equal (key, size) stand for equal texts; keys are digests of the bytes.
+
+    The second table holds each text that had to be read again once, with those of ``also`` (key, size).
+    """
     ship(texts.sparkSession)
     rows = materialize(anchor_rows(texts, window, core), "anchors")
     # Written, so that the join shuffles both sides for itself and Spark may split a hot core.
@@ -138,8 +143,11 @@ def repeated_ranges(texts: DataFrame, window: int, core: int, inner_core: int, c
                                            F.coalesce("large", F.lit(False)).alias("large"))).alias("pieces")))
     wanted = materialize(wanted, "wanted")
     # Copies of a text asked for come with it; one is kept, before they meet where Spark combines.
-    asked = texts.join(wanted.select("key", "size"), ["key", "size"], "left_semi").groupBy("key", "size").agg(F.first("data").alias("data"))
-    pieces = (materialize(asked, "asked-texts").join(wanted, ["key", "size"])
+    keys = wanted.select("key", "size")
+    keys = keys if also is None else keys.unionByName(also)
+    asked = texts.join(keys, ["key", "size"], "left_semi").groupBy("key", "size").agg(F.first("data").alias("data"))
+    asked = materialize(asked, "asked-texts")
+    pieces = (asked.join(wanted, ["key", "size"])
               .select("key", "size", "data", F.explode("pieces").alias("p"))
               .select("p.core", "p.times", "p.large", "key", "size", "p.lo",
                       F.expr(f"substring(data, p.lo + 1, p.hi - p.lo + {window})").alias("piece")))
@@ -192,7 +200,7 @@ def repeated_ranges(texts: DataFrame, window: int, core: int, inner_core: int, c
     def ranges(lo, hi):
         return _merged(np.array(lo), np.array(hi), window)
 
-    return runs.select("key", "size", ranges("lo", "hi").alias("spans"))
+    return runs.select("key", "size", ranges("lo", "hi").alias("spans")), asked
 
 
 def without(data: Column, spans: Column) -> Column:
@@ -205,17 +213,31 @@ def without(data: Column, spans: Column) -> Column:
 
 
 def remove_repeats(docs: DataFrame, window: int = 400, core: int = 100, inner_core: int = 320, core_rows: int = 20_000,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = None, passage_core: int = 16) -> DataFrame:
     """(id_col, data, spans, kept) of every row: the text's bytes, the removed ranges (sorted,
     disjoint, maximal; empty if none) and the bytes left.
 
+    With ``passage_words`` there is a column ``shares_passage`` too: whether so many words in a row,
+    parted by any ASCII white space, also stand in another row. Nothing is removed for that.
+
     Null texts count as empty. Texts shorter than ``window`` lose nothing. Repeated rows are copies
     like any others: whole texts of ``window`` bytes or more are removed. Other columns are not read.
     """
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias(id_col), data.alias("data"))
     rows = rows.select(id_col, text_key(F.col("data")).alias("key"), F.length("data").alias("size"), "data")
-    found = repeated_ranges(rows.filter(F.col("size") >= window).select("key", "size", "data"), window, core, inner_core, core_rows)
-    spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
-    rows = rows.join(materialize(found, "repeats"), ["key", "size"], "left").select(id_col, "data", spans.alias("spans"))
-    return rows.withColumn("kept", without(F.col("data"), F.col("spans")))
+    texts = rows.select("key", "size", "data")
+    # A passage has a byte a word and one between two words at least.
+    long = F.col("size") >= min(window, window if passage_words is None else 2 * passage_words - 1)
+    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    if passage_words is None:
+        found, _ = repeated_ranges(texts.filter(long), window, core, inner_core, core_rows)
+    else:
+        ship(docs.sparkSession)
+        sure, runs = open_passages(texts.filter(long), passage_words, passage_core)
+        found, asked = repeated_ranges(texts.filter(long), window, core, inner_core, core_rows, runs.select("key", "size"))
+        shared = sure.unionByName(shared_windows(asked.join(runs, ["key", "size"]), passage_words))
+        found = found.join(shared.distinct().withColumn("shares_passage", F.lit(True)), ["key", "size"], "full")
+    rows = rows.join(materialize(found, "repeats"), ["key", "size"], "left").withColumn("spans", F.coalesce("spans", empty))
+    more = [] if passage_words is None else [F.coalesce("shares_passage", F.lit(False)).alias("shares_passage")]
+    return rows.select(id_col, "data", "spans", without(F.col("data"), F.col("spans")).alias("kept"), *more)
